@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import canonical, distinctive, seen, term_counts, tokenizer
+from lexiquarry.llm import canonical, distinctive, leakage, near_duplicates, seen, term_counts, tokenizer
 from lexiquarry.llm.record_terms import record_terms
 from lexiquarry.workspace import materialize, new_path
 
@@ -52,6 +52,24 @@ def p3_characteristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.most_characteristic(distinctive.residual_idf(_pairs(spark, sf_dir)))
 
 
+# Problem 4
+
+
+def _with_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = _articles(spark, sf_dir, "title", "body")
+    return articles.filter(F.col("body").isNotNull() & (seen.folded(F.col("body")) != ""))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.near_duplicates(_with_body(spark, sf_dir), "doc_id", ["title", "body"], 3, near_duplicates.Threshold(3, 5))
+    return near_duplicates.record_pairs(*found, "doc_id")
+
+
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usual setting: five words, similarity 0.8."""
+    return near_duplicates.record_links(*near_duplicates.near_duplicates(_with_body(spark, sf_dir), "doc_id", ["title", "body"]), "doc_id")
+
+
 # Problem 5
 
 
@@ -94,17 +112,36 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.decode(p6_ids(spark, sf_dir), "doc_id")
 
 
+# Problem 7
+
+
+def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.occurrences(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(_occurrences(spark, sf_dir))
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.removal_spans(_occurrences(spark, sf_dir))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_forms": p1_forms,
     "p3_found": p3_found,
     "p3_scores": p3_scores,
     "p3_characteristic": p3_characteristic,
+    "p4_found": p4_found,
+    "p4_links": p4_links,
     "p5_found": p5_found,
     "p5_counts": p5_counts,
     "p5_changes": p5_changes,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
+    "p7_found": p7_found,
+    "p7_spans": p7_spans,
 }
 
 
