@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import canonical, distinctive, leakage, near_duplicates, seen, term_counts, tokenizer
+from lexiquarry.llm import canonical, distinctive, leakage, near_duplicates, seen, subjects, term_counts, tokenizer
 from lexiquarry.llm.record_terms import record_terms
 from lexiquarry.workspace import materialize, new_path
 
@@ -127,6 +127,23 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.removal_spans(_occurrences(spark, sf_dir))
 
 
+# Problem 8
+
+
+def p8_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.document_subjects(*(_table(spark, sf_dir, t) for t in ("documents", "labels", "subjects")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: documents, and their mean share of words."""
+    found = p8_subjects(spark, sf_dir)
+    return found.groupBy("subject").agg(F.count("*").alias("n_docs"), F.round(F.avg("share"), 6).alias("mean_share"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_forms": p1_forms,
@@ -142,6 +159,9 @@ QUERIES = {
     "p6_decoded": p6_decoded,
     "p7_found": p7_found,
     "p7_spans": p7_spans,
+    "p8_found": p8_found,
+    "p8_subjects": p8_subjects,
+    "p8_composition": p8_composition,
 }
 
 
