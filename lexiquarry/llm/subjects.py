@@ -34,12 +34,12 @@ class Settings(NamedTuple):
     """What training and scoring depend on."""
 
     max_labelled: int = 6000  #: labelled documents in the sample
-    cells: int = 1 << 15  #: rows of each hashed table
+    cells: int = 1 << 14  #: rows of each hashed table
     size: int = 16  #: of an embedding
     grams: tuple[int, int] = (3, 5)  #: shortest and longest subword
-    steps: int = 30  #: on the labels of the documents
-    refined: int = 40  #: on each sentence's own subject, as told after these
-    rate: float = 0.05
+    steps: int = 16  #: on the labels of the documents
+    refined: int = 16  #: on each sentence's own subject, as told after these
+    rate: float = 0.12
     decay: float = 1e-6
     partitions: int = 6  #: shares of the sample
     level: float = 0.4  #: least output of a sentence about a subject
