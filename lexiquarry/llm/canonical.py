@@ -16,10 +16,10 @@ from lexiquarry.workspace import materialize
 
 
 def once(df: DataFrame, key: str, value: list[str], loaded: str | None = None) -> DataFrame:
-    """One row per non-null key with the values as loaded last (of equals, the greatest values)."""
-    at = [F.col(loaded)] if loaded else []
-    latest = F.max(F.struct(*at, *[F.col(v) for v in value])).alias("_latest")
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(latest).select(key, *[F.col("_latest")[v].alias(v) for v in value])
+    """(<key>, values): one row per non-null key with the values as loaded last (of equals, the greatest values; a value is more than a null)."""
+    columns = [F.col(loaded).alias("_at")] * bool(loaded) + [F.col(v).alias(f"_v{i}") for i, v in enumerate(value)]
+    latest = df.select(F.col(key).alias("_key"), F.struct(*columns).alias("_row")).filter("_key IS NOT NULL").groupBy("_key").agg(F.max("_row").alias("_row"))
+    return latest.select(F.col("_key").alias(key), *[F.col(f"_row._v{i}").alias(v) for i, v in enumerate(value)])
 
 
 # The collation is named here, in the SQL, and nowhere else.
@@ -33,19 +33,19 @@ FROM {forms} f JOIN {classes} c ON f._form COLLATE UNICODE = c.canonical COLLATE
 """
 
 
-def canonical_forms(df: DataFrame, key: str, text: str) -> DataFrame:
+def canonical_forms(df: DataFrame, key: str, text: str, loaded: str | None = None) -> DataFrame:
     """(key, canonical STRING, class_id LONG, _stored STRING): the canonical text of each record's class.
 
     ``canonical`` is the shortest, then the first in byte order, of the mapped texts of
     the class, so composed accents win; ``class_id`` is the least key of the class.
-    Null, empty and blank texts belong to no class: both columns are null. ``key`` must
-    be unique (see :func:`once`); other columns are ignored. ``_stored`` is a digest of the
-    text as stored.
+    Null, empty and blank texts belong to no class: both columns are null. A key that
+    occurs again counts once (see :func:`once`), a null key not at all; other columns are
+    ignored. ``_stored`` is a digest of the text as stored.
     """
     spark = df.sparkSession
     # Read four times below, and mapping is the dearest step: written once. _stored tells stored forms apart.
     mapped = materialize(
-        df.select(F.col(key).alias("_key"), F.sha2(F.col(text), 256).alias("_stored"), F.nullif(folded(F.col(text)), F.lit("")).alias("_form")), "mapped"
+        once(df, key, [text], loaded).select(F.col(key).alias("_key"), F.sha2(F.col(text), 256).alias("_stored"), F.nullif(folded(F.col(text)), F.lit("")).alias("_form")), "mapped"
     )
     # Equal mapped texts are first made one row, so a text held by a third of all records is one member.
     forms = mapped.filter("_form IS NOT NULL").groupBy("_form").agg(F.min("_key").alias("_least"))
@@ -54,14 +54,14 @@ def canonical_forms(df: DataFrame, key: str, text: str) -> DataFrame:
     return mapped.join(members, "_form", "left").select(F.col("_key").alias(key), "canonical", "class_id", "_stored")
 
 
-def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+def look_alike_pairs(df: DataFrame, key: str, text: str, loaded: str | None = None) -> DataFrame:
     """Pairs (``<key>_a`` < ``<key>_b``) of records that are equal as seen but not as stored.
 
     Copies in one stored form make no pair among themselves. Classes with a single stored
     form are dropped before anything is joined; the join is on class and hash partitioned,
     and a heavy class is split by the engine's skew join.
     """
-    forms = canonical_forms(df, key, text).filter("class_id IS NOT NULL")
+    forms = canonical_forms(df, key, text, loaded).filter("class_id IS NOT NULL")
     members = materialize(forms.select(F.col(key).alias("k"), F.col("class_id").alias("c"), F.col("_stored").alias("s")), "look-alikes")
     mixed = members.groupBy("c").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo <> hi").select("c")
     varied = members.join(mixed, "c", "left_semi")

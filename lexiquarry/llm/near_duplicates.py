@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.seen import words
+from lexiquarry.llm.canonical import once
+from lexiquarry.llm.seen import folded, words
 from lexiquarry.workspace import materialize
 
 #: Cells of the shingle histogram: 8 bytes each, whatever the corpus.
@@ -238,14 +239,21 @@ def similar_sets(sets: DataFrame, limit: Threshold) -> tuple[DataFrame, DataFram
     return members, links.select("a", "b", "common", "n_a", "n_b")
 
 
-def near_duplicates(df: DataFrame, key: str, parts: list[str], width: int = 5, limit: Threshold = Threshold(4, 5)) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(
+    df: DataFrame, key: str, parts: list[str], width: int = 5, limit: Threshold = Threshold(4, 5), loaded: str | None = None, required: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(members, links) of records by the shingles of ``width`` words of their parts; see :func:`similar_sets`.
 
-    A null part counts as empty. Records with a null key or fewer words than ``width`` have
-    no shingles: they are neither members nor linked. Keys must be unique; other columns are
-    ignored; an empty table gives no rows.
+    A null part counts as empty; records whose ``required`` part is null or blank are left
+    out. Records with a null key or fewer words than ``width`` have no shingles: they are
+    neither members nor linked. A key that occurs again counts once, as
+    :func:`lexiquarry.llm.canonical.once` says; other columns are ignored; an empty table
+    gives no rows.
     """
-    return similar_sets(shingle_sets(df, key, parts, width), limit)
+    records = once(df, key, parts, loaded)
+    if required:
+        records = records.filter(F.col(required).isNotNull() & (folded(F.col(required)) != ""))
+    return similar_sets(shingle_sets(records, key, parts, width), limit)
 
 
 def record_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:

@@ -14,20 +14,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _articles(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Each article once, as loaded last."""
-    return canonical.once(_table(spark, sf_dir, "articles"), "doc_id", list(columns), "loaded_at")
-
-
 # Problem 1
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical.look_alike_pairs(_articles(spark, sf_dir, "body"), "doc_id", "body")
+    return canonical.look_alike_pairs(_table(spark, sf_dir, "articles"), "doc_id", "body", "loaded_at")
 
 
 def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical.canonical_forms(_articles(spark, sf_dir, "body"), "doc_id", "body").drop("_stored")
+    return canonical.canonical_forms(_table(spark, sf_dir, "articles"), "doc_id", "body", "loaded_at").drop("_stored")
 
 
 # Problem 3
@@ -55,19 +50,18 @@ def p3_characteristic(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Problem 4
 
 
-def _with_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    articles = _articles(spark, sf_dir, "title", "body")
-    return articles.filter(F.col("body").isNotNull() & (seen.folded(F.col("body")) != ""))
+def _similar(spark: SparkSession, sf_dir: str, **setting) -> tuple[DataFrame, DataFrame]:
+    """Articles with a body, each once, by title and body."""
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "articles"), "doc_id", ["title", "body"], loaded="loaded_at", required="body", **setting)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates.near_duplicates(_with_body(spark, sf_dir), "doc_id", ["title", "body"], 3, near_duplicates.Threshold(3, 5))
-    return near_duplicates.record_pairs(*found, "doc_id")
+    return near_duplicates.record_pairs(*_similar(spark, sf_dir, width=3, limit=near_duplicates.Threshold(3, 5)), "doc_id")
 
 
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The usual setting: five words, similarity 0.8."""
-    return near_duplicates.record_links(*near_duplicates.near_duplicates(_with_body(spark, sf_dir), "doc_id", ["title", "body"]), "doc_id")
+    return near_duplicates.record_links(*_similar(spark, sf_dir), "doc_id")
 
 
 # Problem 5
@@ -92,7 +86,7 @@ def p5_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts after three changes: the articles with a title, each term counted once too often in each; then the
     whole collection as it is, which changes those and adds the rest; then the articles without a title deleted."""
     pairs = _pairs(spark, sf_dir)
-    articles = _articles(spark, sf_dir, "title")
+    articles = canonical.once(_table(spark, sf_dir, "articles"), "doc_id", ["title"], "loaded_at")
     titled = articles.filter("title IS NOT NULL").select("doc_id")
     store = term_counts.TermCounts(spark, new_path(spark, "term-counts"))
     store.apply(materialize(pairs.join(titled, "doc_id", "left_semi").select("term", "doc_id", (F.col("tf") + 1).alias("tf")), "titled"))
@@ -177,13 +171,21 @@ def _sql_text(text: str) -> str:
 
 
 _BLANK = f"[{_sql_class(seen.BLANK_CLASS)}{''.join(f'\\x{{{a:X}}}-\\x{{{b:X}}}' for a, b in seen.BLANK_HIGH)}]+"
-_FOLD = (
-    f"regexp_replace(translate(body, {_sql_text(seen._FROM)}, {_sql_text(seen._TO)}), {_sql_text(_BLANK)}, '', 'g')"
-)
-_FORM = f"nullif(trim(regexp_replace({_FOLD}, {_sql_text('[' + _sql_class(seen.SPACE_CLASS) + ']+')}, ' ', 'g'), ' '), '')"
+
+
+def _form(column: str) -> str:
+    """A column as seen, but for separate accents."""
+    fold = f"regexp_replace(translate({column}, {_sql_text(seen._FROM)}, {_sql_text(seen._TO)}), {_sql_text(_BLANK)}, '', 'g')"
+    return f"nullif(trim(regexp_replace({fold}, {_sql_text('[' + _sql_class(seen.SPACE_CLASS) + ']+')}, ' ', 'g'), ' '), '')"
+
+
+def _sql_words(column: str) -> str:
+    return f"regexp_extract_all(lower(nfc_normalize({_form(column)})), '[\\p{{L}}\\p{{N}}]+')"
+
+
 _MAPPED = f"""
 WITH once AS (SELECT doc_id, arg_max(body, loaded_at) AS body FROM (SELECT * FROM articles WHERE body IS NOT NULL) WHERE doc_id IS NOT NULL GROUP BY doc_id),
-mapped AS (SELECT doc_id, body, {_FORM} AS form FROM once),
+mapped AS (SELECT doc_id, body, {_form('body')} AS form FROM once),
 keyed AS (SELECT doc_id, body, form, nfc_normalize(form) AS k FROM mapped WHERE form IS NOT NULL)
 """
 _PAIRS = """
@@ -197,6 +199,23 @@ _SCORED = f"""{_PAIRS},
 scored AS (SELECT p.doc_id, p.term, p.tf, s.n, s.cf, ln(n_all / s.n) AS observed, -ln(1.0 - exp(-s.cf / n_all)) AS expected
            FROM pairs p JOIN stats s USING (term), total)
 """
+_P4 = (
+    "WITH once AS (SELECT doc_id, arg_max(struct_pack(title := title, body := body), loaded_at) AS r FROM articles WHERE doc_id IS NOT NULL GROUP BY doc_id),"
+    "joined AS (SELECT doc_id, coalesce(r.title, '') || ' ' || r.body AS t FROM once WHERE {form} IS NOT NULL),"
+    "worded AS MATERIALIZED (SELECT doc_id, {words} AS w FROM joined),"
+).format(form=_form("r.body").replace("{", "{{").replace("}", "}}"), words=_sql_words("t").replace("{", "{{").replace("}", "}}")) + """
+shingles AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + {width} - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {width} + 2)) AS i FROM worded)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS MATERIALIZED (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS MATERIALIZED (SELECT doc_id_a, doc_id_b FROM common JOIN sizes x ON x.doc_id = doc_id_a JOIN sizes y ON y.doc_id = doc_id_b WHERE c * {under} >= (x.n + y.n - c) * {over})
+"""
+_P7 = f"""
+WITH doc_words AS (SELECT doc_id, {_sql_words('text')} AS w FROM documents),
+item_words AS (SELECT item_id, {_sql_words('text')} AS w FROM benchmark),
+doc_runs AS (SELECT doc_id, i - 1 AS word_no, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM doc_words)),
+item_runs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM item_words)),
+places AS MATERIALIZED (SELECT doc_id, item_id, word_no FROM doc_runs JOIN item_runs USING (s))
+"""
 SQL = {
     "p1_found": f"""{_MAPPED}
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM keyed a JOIN keyed b ON a.k = b.k AND a.doc_id < b.doc_id AND a.body <> b.body
@@ -216,6 +235,14 @@ SELECT doc_id, term, tf, n, cf, round(observed - expected, 6) + 0.0 AS residual,
 rounded AS (SELECT doc_id, term, round(tf * (observed - expected), 6) AS score FROM scored)
 SELECT doc_id, first(term ORDER BY score DESC, term) AS term, max(score) AS score FROM rounded GROUP BY doc_id
 """,
+    "p4_found": _P4.format(width=3, over=3, under=5)
+    + "SELECT doc_id_a, doc_id_b FROM linked",
+    "p4_links": _P4.format(width=5, over=4, under=5)
+    + """, classes AS (SELECT set_id, min(doc_id) AS class_id FROM (SELECT doc_id, list_sort(list(s)) AS set_id FROM shingles GROUP BY doc_id) GROUP BY set_id),
+member AS (SELECT doc_id, class_id FROM (SELECT doc_id, list_sort(list(s)) AS set_id FROM shingles GROUP BY doc_id) JOIN classes USING (set_id)),
+ends AS (SELECT doc_id_a AS a, doc_id_b AS b FROM linked UNION ALL SELECT doc_id_b, doc_id_a FROM linked),
+far AS (SELECT x.class_id, count(DISTINCT y.class_id) AS n FROM ends JOIN member x ON x.doc_id = a JOIN member y ON y.doc_id = b WHERE x.class_id <> y.class_id GROUP BY x.class_id)
+SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM member LEFT JOIN far USING (class_id)""",
     "p5_found": f"""{_PAIRS}
 SELECT term, 'rare' AS mark FROM stats WHERE n < 3
 UNION ALL SELECT term, 'common' FROM stats, total WHERE n > 0.75 * n_all
@@ -227,4 +254,9 @@ WHERE doc_id NOT IN (SELECT doc_id FROM (SELECT doc_id, max(title) AS t FROM art
 GROUP BY term
 """,
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p7_found": f"{_P7} SELECT DISTINCT doc_id, item_id FROM places",
+    "p7_spans": f"""{_P7},
+before AS (SELECT doc_id, word_no, lag(word_no) OVER (PARTITION BY doc_id ORDER BY word_no) AS b FROM (SELECT DISTINCT doc_id, word_no FROM places)),
+numbered AS (SELECT doc_id, word_no, sum(CASE WHEN b IS NULL OR word_no > b + 12 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY word_no) AS span FROM before)
+SELECT doc_id, min(word_no) AS first_word, max(word_no) + 11 AS last_word FROM numbered GROUP BY doc_id, span""",
 }
