@@ -11,25 +11,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.seen import folded
+from lexiquarry.llm.seen import folded, settled
 from lexiquarry.workspace import materialize
 
 
 def once(df: DataFrame, key: str, value: list[str], loaded: str | None = None) -> DataFrame:
     """(<key>, values): one row per non-null key with the values as loaded last (of equals, the greatest values; a value is more than a null)."""
-    columns = [F.col(loaded).alias("_at")] * bool(loaded) + [F.col(v).alias(f"_v{i}") for i, v in enumerate(value)]
+    columns = ([F.col(loaded).alias("_at")] if loaded else []) + [F.col(v).alias(f"_v{i}") for i, v in enumerate(value)]
     latest = df.select(F.col(key).alias("_key"), F.struct(*columns).alias("_row")).filter("_key IS NOT NULL").groupBy("_key").agg(F.max("_row").alias("_row"))
     return latest.select(F.col("_key").alias(key), *[F.col(f"_row._v{i}").alias(v) for i, v in enumerate(value)])
 
 
-# The collation is named here, in the SQL, and nowhere else.
-_CLASSES = """
+# The appended ideograph is the same for all texts, so it changes no equality. It keeps the collator off its shortcut
+# for Latin texts, which orders sharp s after composed and separate accents inconsistently; sorted groups would tear.
+_KEY = "concat(_form, '一') COLLATE UNICODE"
+_CLASSES = f"""
 SELECT min(struct(octet_length(_form) AS n, _form AS f)).f AS canonical, min(_least) AS class_id
-FROM {forms} GROUP BY _form COLLATE UNICODE
+FROM {{forms}} GROUP BY {_KEY}
 """
-_MEMBERS = """
+_MEMBERS = f"""
 SELECT f._form, c.canonical, c.class_id
-FROM {forms} f JOIN {classes} c ON f._form COLLATE UNICODE = c.canonical COLLATE UNICODE
+FROM {{forms}} f JOIN {{classes}} c ON {_KEY.replace("_form", "f._form")} = {_KEY.replace("_form", "c.canonical")}
 """
 
 
@@ -45,7 +47,7 @@ def canonical_forms(df: DataFrame, key: str, text: str, loaded: str | None = Non
     spark = df.sparkSession
     # Read four times below, and mapping is the dearest step: written once. _stored tells stored forms apart.
     mapped = materialize(
-        once(df, key, [text], loaded).select(F.col(key).alias("_key"), F.sha2(F.col(text), 256).alias("_stored"), F.nullif(folded(F.col(text)), F.lit("")).alias("_form")), "mapped"
+        once(df, key, [text], loaded).select(F.col(key).alias("_key"), F.sha2(F.col(text), 256).alias("_stored"), F.nullif(settled(folded(F.col(text))), F.lit("")).alias("_form")), "mapped"
     )
     # Equal mapped texts are first made one row, so a text held by a third of all records is one member.
     forms = mapped.filter("_form IS NOT NULL").groupBy("_form").agg(F.min("_key").alias("_least"))

@@ -12,8 +12,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Greek and Cyrillic letters (upper and lower case) drawn like Latin ones.
 LOOK_ALIKES = {
@@ -54,6 +56,21 @@ def folded(text: Column) -> Column:
     return F.trim(F.regexp_replace(visible, f"[{SPACE_CLASS}]+", " "))
 
 
+#: Marks in a row, or a mark behind a letter that may hold one: only there can the order of marks be unsettled.
+_UNSETTLED = "\\p{M}{2}|[\\x{C0}-\\x{10FFFF}&&\\p{L}]\\p{M}"
+
+
+@F.pandas_udf(StringType())
+def _settle(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def settled(folded_text: Column) -> Column:
+    """Marks brought into canonical order in the few texts where that can be unsettled, as collation needs it; others as they are."""
+    unsettled = folded_text.rlike(_UNSETTLED)
+    return F.coalesce(_settle(F.when(unsettled, folded_text)), folded_text)
+
+
 def as_seen(text: str) -> str:
     """``text`` as seen, accents composed."""
     if text.isascii():
