@@ -42,7 +42,7 @@ class Settings(NamedTuple):
     rate: float = 0.12
     decay: float = 1e-6
     partitions: int = 6  #: shares of the sample
-    level: float = 0.4  #: least output of a sentence about a subject
+    level: float = 0.3  #: least output of a sentence about a subject
     share: float = 0.25  #: of a document's words
     seed: int = 7
 
@@ -149,13 +149,16 @@ class Share:
         mean = np.add.reduceat(vectors[self.tokens], self.starts) / self.counts[:, None]
         return mean, 1 / (1 + np.exp(-(mean @ model.out.T + model.bias)))
 
-    def refine(self, model: Model) -> None:
-        """Let each sentence be about its most likely subject, if that is more likely than not, and no other."""
+    def refine(self, model: Model, base: np.ndarray) -> None:
+        """Let each sentence be about its most likely subject and no other, if that is beyond half way from the subject's base rate to certainty.
+
+        A sentence that tells nothing of a subject gets about its base rate, however high that is.
+        """
         if len(self.starts):
             p = self.outputs(model)[1]
             best, rows = p.argmax(1), np.arange(len(p))
             self.targets = np.zeros_like(self.targets)
-            self.targets[rows, best] = p[rows, best] >= 0.5
+            self.targets[rows, best] = p[rows, best] >= (1 + base[best]) / 2
 
     def gradient(self, model: Model) -> tuple[list[np.ndarray], float]:
         """Sums over the share's sentences, not means."""
@@ -226,31 +229,32 @@ def train(documents: DataFrame, labels: DataFrame, names: list[str], settings: S
                 for part, raw in zip(batch["part"], batch["share"]):
                     share = Share.load(raw)
                     gradient, loss = share.gradient(shared.value)
-                    yield pd.DataFrame({"part": [part], "n": [len(share.starts)], "loss": [loss], "gradient": [np.concatenate([g.ravel() for g in gradient]).tobytes()]})
+                    yield pd.DataFrame({"part": [part], "n": [len(share.starts)], "loss": [loss], "held": [share.targets.sum(0).tolist() if len(share.starts) else [0.0] * len(names)], "gradient": [np.concatenate([g.ravel() for g in gradient]).tobytes()]})
 
         return run
 
-    def refined(shared):
+    def refined(shared, base: np.ndarray):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for part, raw in zip(batch["part"], batch["share"]):
                     share = Share.load(raw)
-                    share.refine(shared.value)
+                    share.refine(shared.value, base)
                     yield pd.DataFrame({"part": [part], "share": [share.save()]})
 
         return run
 
-    adam = Adam(model, s)
+    adam, base = Adam(model, s), np.zeros(len(names))
     for step in range(s.steps + s.refined):
         shared = spark.sparkContext.broadcast(model)
         if step == s.steps:
-            shares = materialize(shares.mapInPandas(refined(shared), "part int, share binary"), "subject-shares")
+            shares = materialize(shares.mapInPandas(refined(shared, base), "part int, share binary"), "subject-shares")
         # In the order of the shares, so that the sums don't depend on which task ends first.
-        rows = sorted(shares.mapInPandas(gradients(shared), "part int, n long, loss double, gradient binary").collect())
+        rows = sorted(shares.mapInPandas(gradients(shared), "part int, n long, loss double, held array<double>, gradient binary").collect())
         n = sum(r["n"] for r in rows)
         if not n:
             return None
         total = sum(np.frombuffer(r["gradient"], np.float32).astype(np.float64) for r in rows) / n
+        base = sum(np.array(r["held"]) for r in rows) / n
         model = adam.step(model, [g.reshape(shape).astype(np.float32) for g, shape in zip(np.split(total, ends[:-1]), shapes)])
         shared.unpersist()
     return model
