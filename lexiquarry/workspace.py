@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def initial_partitions(spark: SparkSession, least: int, most: int = 100_000) -> Iterator[None]:
+    """Let shuffles of the jobs run inside start with at least so many partitions, before adaptive execution joins small ones."""
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(key, None)
+    usual = int(before or spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(key, str(max(usual, min(least, most))))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def drop(spark: SparkSession, where: str) -> None:
     path, fs = _fs(spark, where)
     fs.delete(path, True)
