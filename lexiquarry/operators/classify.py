@@ -7,6 +7,8 @@ vocabulary. Sums over terms are taken before anything is joined per document.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,24 +78,22 @@ class Classifier:
 
         The k terms and the classes bound the tables that are broadcast. Documents without any of the terms get the prior.
         """
-        chosen = self.discriminating_terms(k).select("term")
-        sizes = self.class_sizes()
-        total = sizes.agg(F.coalesce(F.sum("n_c"), F.lit(0)).cast("double")).first()[0] or 1.0
-        counts = self.class_terms().join(F.broadcast(chosen), "term", "left_semi").select("class", "term", "cf")
-        # Each class with each chosen term, k rows a class: a term that the class lacks has cf 0.
-        priors = sizes.select("class", F.log2(F.col("n_c") / F.lit(total)).alias("_prior"))
-        terms = chosen.agg(F.collect_list("term").alias("_terms"))
-        grid = priors.withColumn("_one", F.lit(1)).join(F.broadcast(terms.withColumn("_one", F.lit(1))), "_one").select("class", F.explode("_terms").alias("term"))
-        filled = grid.join(counts, ["class", "term"], "left").fillna(0, ["cf"])
-        sums = filled.groupBy("class").agg((F.sum("cf") + F.count("*")).cast("double").alias("_all"))
-        likelihood = filled.join(F.broadcast(sums), "class").select("class", "term", F.log2((F.col("cf") + 1) / F.col("_all")).alias("_ll"))
+        terms = [r["term"] for r in self.discriminating_terms(k).collect()]  # at most k
+        sizes = self.class_sizes().orderBy("class").collect()  # a row per class
         docs = self.index.doc_stats.filter("class IS NULL").select("doc_id")
-        part = self._postings(False).select("doc_id", "term").join(F.broadcast(likelihood), "term").groupBy("doc_id", "class").agg(F.sum("_ll").alias("_sum"))
-        # One row per class for each document: an array of the few classes, not a join without keys.
-        every = F.array(*[F.struct(F.lit(r["class"]).alias("class"), F.lit(r["_prior"]).alias("_prior")) for r in priors.orderBy("class").collect()])
-        base = docs.select("doc_id", F.inline(every)) if total and sizes.count() else None
-        if base is None:
+        if not sizes:
             return docs.limit(0).select("doc_id", F.lit(None).cast("string").alias("class"), F.lit(None).cast("double").alias("score"))
+        total = sum(r["n_c"] for r in sizes)
+        priors = F.array(*[F.struct(F.lit(r["class"]).alias("class"), F.lit(math.log2(r["n_c"] / total)).alias("_prior")) for r in sizes])
+        # Each class with each of the terms: one that the class lacks has cf 0.
+        grid = self.index.spark.createDataFrame([(r["class"], t) for r in sizes for t in terms], "class string, term string")
+        counts = self.class_terms().filter(F.col("term").isin(terms)).select("class", "term", "cf")
+        filled = grid.join(counts, ["class", "term"], "left").fillna(0, ["cf"])
+        sums = filled.groupBy("class").agg((F.sum("cf") + F.count("*")).cast("double").alias("_all"))
+        likelihood = filled.join(sums, "class").select("class", "term", F.log2((F.col("cf") + 1) / F.col("_all")).alias("_ll"))
+        held = self._postings(False).filter(F.col("term").isin(terms)).select("doc_id", "term")
+        part = held.join(F.broadcast(likelihood), "term").groupBy("doc_id", "class").agg(F.sum("_ll").alias("_sum"))
+        base = docs.select("doc_id", F.inline(priors))
         return base.join(part, ["doc_id", "class"], "left").select("doc_id", "class", (F.col("_prior") + F.coalesce("_sum", F.lit(0.0))).alias("score"))
 
     def classify_bayes(self, k: int = 50, decimals: int = 6) -> DataFrame:

@@ -195,21 +195,27 @@ def query_terms(index: Index, query: str, kgram: bool = True) -> tuple[list[str]
     return words, wild
 
 
-def rank(index: Index, queries: DataFrame, scheme: str = "default", k: int | None = 10, textbook: bool = False, decimals: int = 6) -> DataFrame:
+def rank(
+    index: Index, queries: DataFrame, scheme: str = "default", k: int | None = 10, textbook: bool = False, decimals: int = 6, only: list[str] | None = None
+) -> DataFrame:
     """(query_id, rank, doc_id, file_name, score): top k of each query; ``queries`` has (query_id, term), a repeated term counts again.
 
     Unknown terms add nothing; documents with a sum of 0 aren't found. Ranked on the score
     rounded to ``decimals``, of equals the lesser doc_id first. The queries join the
     postings on the term, where AQE splits heavy terms; the best k of each query are taken
-    before and after the last shuffle. k None: all.
+    before and after the last shuffle. k None: all. ``only``: all terms of the queries, if
+    they are few and known; scans are then restricted to them.
     """
     if scheme not in SCHEMES:
         raise ValueError(f"scheme must be one of {SCHEMES}")
     asked = queries.groupBy("query_id", "term").agg(F.count("*").alias("_times"))
     corpus = index.corpus_stats.first()
     n = F.lit(float(corpus["n_docs"]))
-    weighted = asked.join(index.vocab, "term").withColumn("_wqt", F.col("_times") * query_weight(scheme, n, F.col("df"), textbook)).select("query_id", "term", "_wqt")
-    hits = index.postings.select("term", "doc_id", "tf").join(weighted, "term")
+    vocab, postings = index.vocab, index.postings
+    if only is not None:
+        vocab, postings = (t.filter(F.col("term").isin(only)) for t in (vocab, postings))
+    weighted = asked.join(vocab, "term").withColumn("_wqt", F.col("_times") * query_weight(scheme, n, F.col("df"), textbook)).select("query_id", "term", "_wqt")
+    hits = postings.select("term", "doc_id", "tf").join(weighted, "term")
     stats = index.doc_stats.select("doc_id", "file_name", "l_d", "avg_tftd", "byte_size", F.col("doc_length").alias("_length"))
     if scheme in ("wacky", "bm25"):  # the document's weight needs its statistics before the sum
         hits = hits.join(stats.select("doc_id", "avg_tftd", "_length"), "doc_id")
@@ -227,7 +233,7 @@ def search_ranked(index: Index, query: str, scheme: str = "default", k: int | No
     asked = index.spark.createDataFrame([(0, w) for w in words], "query_id int, term string")
     for pattern in wild:
         asked = asked.unionByName(expand_wildcard(index, pattern).select(F.lit(0).alias("query_id"), "term"))
-    return rank(index, asked, scheme, k, textbook).drop("query_id")
+    return rank(index, asked, scheme, k, textbook, only=None if wild else sorted(set(words))).drop("query_id")
 
 
 def count_ranked(index: Index, query: str, scheme: str = "default") -> int:
