@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 
 from lexiquarry.llm.canonical import once
 from lexiquarry.llm.seen import folded, words
-from lexiquarry.workspace import materialize
+from lexiquarry.workspace import initial_partitions, materialize
 
 #: Cells of the shingle histogram: 8 bytes each, whatever the corpus.
 CELLS = 1 << 18
 #: Upper size of a band over its lower size.
 BAND = 1.2
+#: Signatures to sort in a task.
+SORTED_ROWS = 500_000
 #: Words of 64 bits in a fingerprint.
 PRINT_WORDS = 8
 
@@ -218,7 +220,7 @@ def similar_sets(sets: DataFrame, limit: Threshold) -> tuple[DataFrame, DataFram
     members = sets.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")).join(sets.select("id", "h1", "h2", "n"), ["h1", "h2", "n"]).select("id", "rep")
     members = materialize(members, "set-members")
     reps = materialize(sets.join(members.filter("id = rep").select("id"), "id", "left_semi").select("id", "n", "tokens"), "set-reps")
-    largest = reps.agg(F.max("n")).first()[0] or 0
+    largest, shingles = (x or 0 for x in reps.agg(F.max("n"), F.sum("n")).first())
     bands = Bands(limit, largest)
     cells = sets.sparkSession.sparkContext.broadcast(_histogram(reps))
     index = reps.mapInArrow(_emit(lambda t: _index_signatures(t, bands)), "sig long, id long, n int").toDF("sig", "s", "ns")
@@ -227,6 +229,10 @@ def similar_sets(sets: DataFrame, limit: Threshold) -> tuple[DataFrame, DataFram
     turn = (F.col("nr") > F.col("ns")) | (F.col("r") < F.col("s"))  # sets of one band probe each other; once is enough
     pairs = index.join(probe, "sig").filter((F.col("r") != F.col("s")) & close & turn)
     pairs = pairs.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
+    # There are some six signatures to a shingle; partitions of bounded size keep their sort small. Adaptive
+    # execution still joins small partitions and splits those of frequent signatures.
+    with initial_partitions(sets.sparkSession, shingles * 6 // SORTED_ROWS):
+        pairs = materialize(pairs, "candidates")
     prints = materialize(reps.mapInArrow(_fingerprints, "id long, n int, " + ", ".join(f"f{w} long" for w in range(PRINT_WORDS))), "fingerprints")
     left, right = (prints.toDF(x, f"n_{x}", *[f"{x}{i}" for i in range(PRINT_WORDS)]) for x in "ab")
     bits = reduce(add, (F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(PRINT_WORDS)))
