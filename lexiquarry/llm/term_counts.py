@@ -49,7 +49,10 @@ class TermCounts:
     def _write(self, table: str, rows: DataFrame, key: str, touched: list[int], change: int) -> dict[str, int]:
         """Write the touched buckets; a bucket that became empty leaves the manifest."""
         where = f"{self.path}/{table}/change={change}"
-        rows.withColumn("bucket", self._bucket(key)).write.partitionBy("bucket").parquet(where)
+        rows = rows.withColumn("bucket", self._bucket(key))
+        if table != "records":  # small rows, so that a bucket is one file or a few; records are written where they are, without another shuffle
+            rows = rows.hint("rebalance", "bucket")
+        rows.write.partitionBy("bucket").parquet(where)
         path, fs = workspace._fs(self.spark, where)
         there = {s.getPath().getName().partition("=")[2] for s in fs.listStatus(path)} - {""}
         kept = {b: n for b, n in self.manifest[table].items() if int(b) not in touched}
