@@ -7,43 +7,67 @@ row groups by their statistics, and a term in most documents spans as many files
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiquarry import workspace
 from lexiquarry.functions.analysis import terms
+from lexiquarry.functions.porter2 import stem_column
 
 GRAM_SIZES = (1, 2, 3)
 
 
-def build_tables(documents: DataFrame, stemmer: str = "none", kgram: bool = True) -> dict[str, DataFrame]:
-    """Tables of an index over documents (doc_id, body and optionally file_name, title, url, byte_size, class).
+def normalized_documents(documents: DataFrame) -> DataFrame:
+    """(doc_id, body, file_name, byte_size, class) of documents that may lack the last three; other columns are left out."""
+    has = set(documents.columns)
+    optional = {
+        "file_name": F.concat(F.lit("doc"), F.col("doc_id").cast("string")),
+        "byte_size": F.coalesce(F.octet_length("body"), F.lit(0)).cast("long"),
+        "class": F.lit(None).cast("string"),
+    }
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "body", *[(F.col(c) if c in has else e).alias(c) for c, e in optional.items()])
+
+
+def analyzed_postings(docs: DataFrame, stemmer: str = "none") -> DataFrame:
+    """Postings with the statistics of their document (l_d, doc_length, emitted).
 
-    doc_id must be unique and not null. A document without terms keeps its doc_stats row
-    (l_d 0, doc_length 0, avg_tftd null) and counts in n_docs. Other columns are ignored.
+    The text is analyzed once and shuffled once, on the document: counts per (document,
+    term) and sums per document both keep that partitioning.
     """
-    has = set(documents.columns)
-    optional = {"file_name": F.concat(F.lit("doc"), F.col("doc_id").cast("string")), "byte_size": F.coalesce(F.octet_length("body"), F.lit(0)).cast("long"), "class": F.lit(None).cast("string")}
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "body", *[(F.col(c) if c in has else e).alias(c) for c, e in optional.items()])
-    emitted = terms(docs, "body", stemmer)
-    # One shuffle on the document: the aggregates per (document, term) and per document and their join all keep it.
-    by_doc = emitted.select("doc_id", "pos", "term").repartition("doc_id")
+    by_doc = terms(docs, "body", stemmer).select("doc_id", "pos", "term").repartition("doc_id")
     counted = by_doc.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf_emit"), F.sort_array(F.collect_set("pos")).alias("positions"))
-    weighted = counted.withColumns({"tf": F.size("positions"), "w_default": 1 + F.log("tf_emit")})
-    per_doc = weighted.groupBy("doc_id").agg(
-        F.sqrt(F.sum(F.pow("w_default", F.lit(2)))).alias("l_d"), F.count("*").alias("doc_length"), F.sum("tf_emit").alias("emitted")
+    document = Window.partitionBy("doc_id")
+    weighted = counted.withColumns({"tf": F.size("positions"), "w_default": 1 + F.log("tf_emit")}).withColumns(
+        {
+            "l_d": F.sqrt(F.sum(F.pow("w_default", F.lit(2))).over(document)),
+            "doc_length": F.count("*").over(document),
+            "emitted": F.sum("tf_emit").over(document),
+        }
     )
-    postings = weighted.join(per_doc, "doc_id").select(
+    return weighted.select(
         "term", "doc_id", "tf_emit", "tf", "positions", "w_default",
         F.log(F.col("doc_length") / F.col("tf_emit")).alias("w_tfidf"),
         (F.lit(2.2) * F.col("tf_emit")).alias("w_okapi"),
         (F.col("w_default") / (1 + F.log(F.col("emitted") / F.col("doc_length")))).alias("w_wacky"),
+        "l_d", "doc_length", "emitted",
     )
-    doc_stats = docs.drop("body").join(per_doc, "doc_id", "left").select(
+
+
+def doc_stats_table(docs: DataFrame, postings: DataFrame) -> DataFrame:
+    """One row per document, also for those without terms: l_d 0, doc_length 0, avg_tftd null."""
+    held = ("l_d", "doc_length", "emitted")
+    per_doc = postings.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in held])
+    return docs.drop("body").join(per_doc, "doc_id", "left").select(
         "doc_id", "file_name", "class", F.coalesce("l_d", F.lit(0.0)).alias("l_d"), F.coalesce("doc_length", F.lit(0)).cast("long").alias("doc_length"),
         "byte_size", (F.col("emitted") / F.col("doc_length")).alias("avg_tftd"),
     )
-    norms = emitted.select("norm", "term").distinct()
-    return {"postings": postings, "doc_stats": doc_stats, "norms": norms} | ({"kgrams": kgram_table(norms)} if kgram else {})
+
+
+def norms_table(docs: DataFrame, vocab: DataFrame, stemmer: str) -> DataFrame:
+    """(norm, term): unstemmed terms and what they become; only distinct ones are stemmed."""
+    if stemmer == "none":
+        return vocab.select(F.col("term").alias("norm"), "term")
+    return terms(docs, "body").select("norm").distinct().select("norm", stem_column("norm").alias("term"))
 
 
 def grams(norm: Column) -> Column:
@@ -82,22 +106,30 @@ class Index:
 
     @classmethod
     def build(cls, documents: DataFrame, path: str, stemmer: str = "none", kgram: bool = True) -> Index:
-        """Build all tables and replace what lies at ``path``."""
-        spark = documents.sparkSession
-        tables = build_tables(documents, stemmer, kgram)
-        self = cls(spark, path, stemmer)
-        by_term = tables["postings"].repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        by_term.write.mode("overwrite").parquet(f"{self.path}/postings")
-        tables["doc_stats"].write.mode("overwrite").parquet(f"{self.path}/doc_stats")
-        # The rest is derived from tables that are written.
-        for name, table in (("vocab", vocab_table(self.postings)), ("norms", tables["norms"])):
-            key = table.columns[0]
-            table.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        """Build all tables of documents (doc_id, body and optionally file_name, byte_size, class) and replace what lies at ``path``.
+
+        doc_id must be unique and not null. A document without terms counts in n_docs. The
+        analyzed postings are written once beside the index, since sorting them samples them first.
+        """
+        spark, self = documents.sparkSession, cls(documents.sparkSession, path, stemmer)
+        docs = normalized_documents(documents)
+        staged = workspace.new_path(spark, "analyzed")
+        analyzed_postings(docs, stemmer).write.parquet(staged)
+        analyzed = spark.read.parquet(staged)
+        self._write("postings", analyzed.drop("l_d", "doc_length", "emitted"), "term", "doc_id")
+        doc_stats_table(docs, analyzed).write.mode("overwrite").parquet(f"{self.path}/doc_stats")
+        workspace.drop(spark, staged)
+        self._write("vocab", vocab_table(self.postings), "term")
+        self._write("norms", norms_table(docs, self.vocab, stemmer), "norm")
         corpus_table(self.doc_stats).withColumn("stemmer", F.lit(stemmer)).write.mode("overwrite").parquet(f"{self.path}/corpus")
         if kgram:
-            kgram_table(self.norms).repartitionByRange("gram", "term").sortWithinPartitions("gram", "term").write.mode("overwrite").parquet(f"{self.path}/kgrams")
+            self._write("kgrams", kgram_table(self.norms), "gram", "term")
         return self
 
+    def _write(self, name: str, table: DataFrame, *order: str) -> None:
+        """A table sorted over all its files."""
+        table.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{name}")
+
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
         return cls(spark, path, spark.read.parquet(f"{path.rstrip('/')}/corpus").first()["stemmer"])

@@ -45,7 +45,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back (schema and values unchanged)."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back: the same rows, all columns nullable."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)

@@ -1,0 +1,23 @@
+import os
+
+import pytest
+
+from lexiquarry import catalog
+from tests import oracle
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.SF_DIR), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def con():
+    pytest.importorskip("duckdb")
+    return oracle.connect()
+
+
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
+def test_same_rows_as_sql(spark, con, name):
+    assert oracle.rows_of_spark(catalog.QUERIES[name](spark, oracle.SF_DIR)) == oracle.rows_of_sql(con, catalog.SQL[name])
+
+
+def test_stems(spark):
+    assert catalog.QUERIES["stemmed_vocab"](spark, oracle.SF_DIR).count() > 0
