@@ -98,7 +98,7 @@ _add(
     "stored_weights",
     _on_index(lambda i: i.postings.select("term", "doc_id", *[F.round(w, 6).alias(w) for w in ("w_default", "w_tfidf", "w_okapi", "w_wacky")])),
     f"""{_POSTINGS}
-SELECT term, doc_id, round(w, 6) AS w_default, round(ln(doc_length / tf_emit), 6) + 0.0 AS w_tfidf, round(2.2 * tf_emit, 6) AS w_okapi, round(w / (1 + ln(n_emit / doc_length)), 6) AS w_wacky
+SELECT term, doc_id, round(w, 6) AS w_default, round(ln(doc_length / tf_emit), 6) + 0.0 AS w_tfidf, CAST(round(2.2 * tf_emit, 6) AS DOUBLE) AS w_okapi, round(w / (1 + ln(n_emit / doc_length)), 6) AS w_wacky
 FROM counted JOIN per_doc USING (doc_id)""",
 )
 _add(
