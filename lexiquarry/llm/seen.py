@@ -81,6 +81,11 @@ def as_seen(text: str) -> str:
     return _PY_SPACE.sub(" ", text).strip(" ")
 
 
+def words_seen(seen: str) -> list[str]:
+    """The words of a text that is already as seen."""
+    return _WORD.findall(seen.lower())
+
+
 def words(text: str | None) -> list[str]:
     """The words of a text: runs of letters or digits as seen, in lower case. Null and blank texts have none."""
-    return _WORD.findall(as_seen(text).lower()) if text else []
+    return words_seen(as_seen(text)) if text else []

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.seen import as_seen, words
+from lexiquarry.llm.seen import as_seen, words_seen
 from lexiquarry.workspace import materialize
 
 _LINES = re.compile("[\n\r\u0085\u2028\u2029]+")
@@ -52,7 +52,7 @@ def sentences(text: str | None) -> list[list[str]]:
     out = []
     for line in _LINES.split(text or ""):
         for sentence in _ENDS.split(as_seen(line)):
-            if ws := words(sentence):
+            if ws := words_seen(sentence):
                 out.append(ws)
     return out
 
