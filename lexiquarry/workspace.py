@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -103,3 +105,20 @@ def fits_broadcast(df: DataFrame, limit_bytes: int) -> bool:
     row = df.agg(F.count("*").alias("n"), *[s.alias(f"s{i}") for i, s in enumerate(strings)]).first()
     size = row["n"] * (40 + 16 * len(df.columns)) + sum(row[f"s{i}"] for i in range(len(strings)))
     return size <= limit_bytes
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the executors' Python find this package, wherever they run: its files go to them once an application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="lexiquarry-code-")) / "lexiquarry.zip"  # only the driver reads it, and serves it
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
