@@ -8,19 +8,32 @@ used), 0 (equal segments match) or 1 (segments that differ in one shingle match
 the allowances plus one sum up to more than H, a pair within H must match in some segment:
 otherwise each segment would hold more than v differences. So no similar pair is lost.
 
-Every set is indexed under its segments and their one-deletion neighbourhoods. It probes
-the bands of its own size and smaller with the segments and neighbourhoods its allowances
-ask for. Which segments get which allowance follows from costs: frequent segments, empty
-ones above all, are skipped for rare ones. The frequencies come from a histogram of fixed
-size over all shingles; they change the work, never the result. Candidates are checked by a
-fingerprint that can't reject a similar pair, and then exactly.
-
-Equal sets are made one class first, so copies are neither indexed nor paired.
+Every set is indexed under its segments, and wide segments of three shingles or more under
+their one-deletion neighbourhoods. It probes the bands of its own size and smaller with
+the segments and neighbourhoods its allowances ask for. Bands are as wide as the
+similarity allows sizes to differ, so two bands are enough. Which segments get which
+allowance follows from costs: the sets that share the segment's rarest shingle (for a
+neighbourhood, the second rarest), and the signatures to be emitted. Empty segments are
+never used, frequent ones are skipped for rare ones. The frequencies come from a histogram
+of fixed size over all shingles; they change the work, never the result. A set whose
+segments can't reach the sum, as most of its shingles fell together, is compared through its
+single shingles instead. Candidates are checked by a fingerprint that can't reject a
+similar pair, and then exactly on the hashes of 64 bits.
+
+Larger sets choose allowances that sum up to a little more than H + 1. Then one match isn't
+enough: the matching segments' allowances plus one must reach the surplus too, which
+hardly any pair does that shares but some common phrases.
+
+Equal sets are made one class first, so copies are neither indexed nor paired. Classes are
+told apart by 96 bits, shingles by 64: among 10**10 records two different sets fall into one
+class with a chance of about 10**-9; two shingles of one pair of records of 1,000 shingles
+are taken for one with a chance of about 10**-13.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 from typing import NamedTuple
@@ -32,13 +45,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiquarry.llm.canonical import once
-from lexiquarry.llm.seen import folded, words
+from lexiquarry.llm.seen import visible
+from lexiquarry.llm.wordstream import mix, words_of
 from lexiquarry.workspace import initial_partitions, materialize
 
 #: Cells of the shingle histogram: 8 bytes each, whatever the corpus.
 CELLS = 1 << 18
-#: Upper size of a band over its lower size.
-BAND = 1.2
+#: Expected segments with shingles, for each one that the largest set of a band needs.
+FREE = 1.1
+#: One segment in so many is wide where the largest sets of the band fill a segment with more than FULL shingles; else all are.
+WIDE, FULL = 4, 2.0
+#: Most surplus of allowances, and shingles of a set for each of it.
+SURPLUS, SHARE = 4, 16
+#: Shingles whose signatures a worker makes at a time; bounds its arrays.
+SHINGLES = 250_000
 #: Signatures to sort in a task.
 SORTED_ROWS = 500_000
 #: Words of 64 bits in a fingerprint.
@@ -47,25 +67,6 @@ PRINT_WORDS = 8
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that scatters them."""
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * _C
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_hashes(ws: list[str], width: int) -> np.ndarray:
-    """The set of hashes of all runs of ``width`` words, sorted."""
-    n = len(ws) - width + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    each = pd.util.hash_array(np.array(ws, dtype=object), categorize=False)
-    acc = np.zeros(n, np.uint64)
-    for i in range(width):
-        acc = _mix(acc + _A + each[i : i + n])
-    return np.unique(acc)
-
-
 def shingle_sets(df: DataFrame, key: str, parts: list[str], width: int) -> DataFrame:
     """(id, n INT, tokens ARRAY<LONG>): the shingles of the words of the parts joined by spaces; a null part counts as empty."""
     text = F.concat_ws(" ", *[F.coalesce(F.col(p), F.lit("")) for p in parts])
@@ -73,7 +74,14 @@ def shingle_sets(df: DataFrame, key: str, parts: list[str], width: int) -> DataF
     @F.pandas_udf("array<long>")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([shingle_hashes(words(t), width).view(np.int64) for t in texts], dtype=object)
+            sets: list[np.ndarray] = []
+            for _, ws in words_of(texts.tolist()):
+                runs = np.zeros(max(len(ws.hashes) - width + 1, 0), np.uint64)
+                for i in range(width):
+                    runs = mix(runs + _A + ws.hashes[i : i + len(runs)])
+                stops = np.maximum(ws.offsets[1:] - width + 1, ws.offsets[:-1])
+                sets += [np.unique(runs[a:b]).view(np.int64) for a, b in zip(ws.offsets[:-1].tolist(), stops.tolist())]
+            yield pd.Series(sets, dtype=object)
 
     sets = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), tokens(text).alias("tokens"))
     return sets.select("id", F.size("tokens").alias("n"), "tokens").filter("n > 0")
@@ -85,7 +93,7 @@ class Threshold(NamedTuple):
     over: int
     under: int
 
-    def differences(self, total: int) -> int:
+    def differences(self, total):
         """Most differences of two sets with ``total`` shingles together."""
         return (self.under - self.over) * total // (self.under + self.over)
 
@@ -93,98 +101,146 @@ class Threshold(NamedTuple):
 class Bands:
     """Size bands, and the number of segments of each."""
 
-    def __init__(self, limit: Threshold, largest: int):
+    def __init__(self, limit: Threshold, largest: int, free: float = FREE):
         self.limit = limit
         lows = [1]
         while lows[-1] <= largest:
-            lows.append(max(lows[-1] + 1, int(lows[-1] * BAND)))
+            lows.append(max(lows[-1] + 1, lows[-1] * limit.under // limit.over))
         self.lows = np.array(lows)
         self.highs = self.lows[1:] - 1
-        self.segments = []
-        for high in self.highs.tolist():
-            most = limit.differences(high + high * limit.under // limit.over)
-            self.segments.append(max(1, -(-(most + 1) * 3 // 5)))  # up to 2 a segment must reach most + 1; the rest is choice
-
-    def of(self, n: int) -> int:
-        return int(np.searchsorted(self.lows, n, side="right")) - 1
-
-    def probed(self, n: int) -> range:
-        """Bands with sets that can be similar and aren't larger than n's band."""
-        least = -(-n * self.limit.over // self.limit.under)
-        return range(self.of(least), self.of(n) + 1)
-
-    def allowance(self, n: int, band: int) -> int:
-        """Differences that a pair of a set of size n and one of the band can have, plus one."""
-        largest = min(int(self.highs[band]), n * self.limit.under // self.limit.over)
-        return self.limit.differences(n + largest) + 1
-
-
-def _segments(tokens: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segment of each token, token weights, hash of each segment (a sum, so that a token is taken out by subtracting), base of each segment."""
-    seed = np.uint64(band * int(_A) & 0xFFFFFFFFFFFFFFFF)
-    segment = (_mix(tokens ^ seed) % np.uint64(m)).astype(np.int64)
-    weight = _mix(tokens + _C)
-    total = np.zeros(m, np.uint64)
-    np.add.at(total, segment, weight)
-    return segment, weight, total, _mix(seed + np.arange(1, m + 1, dtype=np.uint64) * _B)
+        self.segments = np.array([self._segments(high, free * (limit.differences(2 * high) + 1) + 2) for high in self.highs.tolist()])
+        self.wide_in = np.where(self.highs > FULL * self.segments, WIDE, 1)
+
+    @staticmethod
+    def _segments(n: int, wanted: float) -> int:
+        """The least number of segments of which n shingles are expected to fill so many; 64 a shingle if that can't be had."""
+        most = 64 * n
+        if most * -math.expm1(-n / most) < wanted:
+            return most
+        low, high = 1, most
+        while low < high:
+            m = (low + high) // 2
+            low, high = (low, m) if m * -math.expm1(-n / m) >= wanted else (m + 1, high)
+        return low
+
+    def of(self, n: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.lows, n, side="right") - 1
+
+    def lowest(self, n: np.ndarray) -> np.ndarray:
+        """The lowest band with sets that can be similar to one of size n."""
+        return self.of(-(-n * self.limit.over // self.limit.under))
+
+    def needed(self, n: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """One more than the differences that a set of size n and one of the band, not larger, can have, and the surplus."""
+        return self.limit.differences(n + np.minimum(self.highs[band], n)) + 1 + np.minimum(n // SHARE, SURPLUS)
+
+
+class _Segmented:
+    """The segments with shingles of several sets, each set split as its band says."""
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, band: np.ndarray, bands: Bands):
+        each = bands.segments[band]
+        seed = band.astype(np.uint64) * _A
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        segment = mix(tokens ^ seed[owner]) % each.astype(np.uint64)[owner]
+        key = owner.astype(np.uint64) << np.uint64(32) | segment
+        self.order = np.argsort(key)
+        key = key[self.order]
+        self.starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.starts, len(key)))
+        self.of_token = np.repeat(np.arange(len(self.starts)), self.size)  # in the order of ``order``
+        self.owner = (key[self.starts] >> np.uint64(32)).astype(np.int64)
+        number = key[self.starts] & np.uint64(0xFFFFFFFF)
+        self.wide = number % bands.wide_in[band].astype(np.uint64)[self.owner] == 0
+        self.weight = mix(tokens[self.order] + _C)
+        # A segment's hash is a sum, so that a shingle is taken out by subtracting.
+        self.total = np.add.reduceat(self.weight, self.starts) if len(key) else np.zeros(0, np.uint64)
+        self.base = mix(seed[self.owner] + (number + np.uint64(1)) * _B)
+
+    def whole(self, chosen: np.ndarray, kind: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """(signature, owner) of the chosen segments."""
+        return mix(self.total[chosen] + self.base[chosen] ^ kind), self.owner[chosen]
+
+    def without_one(self, chosen: np.ndarray, kind: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """(signature, owner) of the chosen segments without each of their shingles."""
+        at = np.flatnonzero(chosen[self.of_token])
+        of = self.of_token[at]
+        return mix(self.total[of] - self.weight[at] + self.base[of] ^ kind), self.owner[of]
 
 
 _EXACT, _DELETED = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-_SIGNATURES = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("n", pa.int32())])
-
-
-def _index_signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    band = bands.of(len(tokens))
-    segment, weight, total, base = _segments(tokens, band, bands.segments[band])
-    return np.concatenate((_mix(total + base ^ _EXACT), _mix(total[segment] - weight + base[segment] ^ _DELETED)))
+_INDEX = "sig long, s long, ns int"
+_PROBE = "sig long, r long, nr int, weight byte"
+
+
+def index_signatures(tokens: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, ...]:
+    """(signature, number of the set) of all sets, whose shingles lie one set behind the other."""
+    s = _Segmented(tokens, sizes, bands.of(sizes), bands)
+    parts = s.whole(np.ones(len(s.starts), bool), _EXACT), s.without_one(s.wide & (s.size > 2), _DELETED)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _allowances(s: _Segmented, often: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which segments match when equal, which with one difference too, and which sets can't reach their sum."""
+    often = often[s.order]
+    rarest = np.minimum.reduceat(often, s.starts) if len(often) else often
+    first = np.flatnonzero(often == rarest[s.of_token])
+    first = first[np.concatenate(([True], s.of_token[first][1:] != s.of_token[first][:-1]))] if len(first) else first
+    rest = often.copy()
+    rest[first] = np.iinfo(np.int64).max >> 24
+    second = np.minimum.reduceat(rest, s.starts) if len(often) else often
+    can = np.flatnonzero(s.wide & (s.size > 1))
+    zero = rarest + 1
+    one = np.maximum(zero + 1, second + 1 + s.size)[can]  # dearer than without the difference, so it is picked after it
+    owner = np.concatenate((s.owner, s.owner[can]))
+    cost = np.minimum(np.concatenate((zero, one)), (1 << 39) - 1)
+    cost[len(zero) :] += 1
+    order = np.argsort(owner.astype(np.uint64) << np.uint64(40) | cost.astype(np.uint64))
+    options = np.bincount(owner, minlength=len(need))
+    place = np.empty(len(owner), np.int64)
+    place[order] = np.arange(len(owner)) - np.repeat(np.cumsum(options) - options, options)
+    picked = place < need[owner]
+    near = np.zeros(len(zero), bool)
+    near[can[picked[len(zero) :]]] = True
+    return picked[: len(zero)], near, options < need
+
+
+def probe_signatures(tokens: np.ndarray, sizes: np.ndarray, bands: Bands, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, number of the set, allowance plus one), and for each set whether its segments can't reach the sum in some band."""
+    often = cells[(tokens % np.uint64(CELLS)).astype(np.int64)]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    own, lowest = bands.of(sizes), bands.lowest(sizes)
+    short = np.zeros(len(sizes), bool)
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8))]
+    for down in range(int((own - lowest).max(initial=-1)) + 1):
+        some = np.flatnonzero(own - down >= lowest)
+        at = (own - down >= lowest)[owner]
+        s = _Segmented(tokens[at], sizes[some], own[some] - down, bands)
+        equal, near, lacking = _allowances(s, often[at], bands.needed(sizes[some], own[some] - down))
+        short[some[lacking]] = True
+        found = (s.whole(equal & ~near, _EXACT), 1), (s.whole(near, _EXACT), 2), (s.whole(near, _DELETED), 2), (s.without_one(near, _EXACT), 2)
+        parts += [(sig, some[of], np.full(len(sig), weight, np.int8)) for (sig, of), weight in found]
+    return *(np.concatenate(x) for x in zip(*parts)), short
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, sizes, shingles) of some sets at a time, in all at most SHINGLES or one set."""
+    for batch in batches:
+        ids, lists = batch.column(0).to_numpy(), batch.column(2)
+        values, offsets = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+        at = 0
+        while at < len(ids):
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SHINGLES, side="right")) - 1)
+            yield ids[at:stop], np.diff(offsets[at : stop + 1]).astype(np.int64), values[offsets[at] : offsets[stop]]
+            at = stop
 
 
-def _probe_signatures(tokens: np.ndarray, bands: Bands, cells: np.ndarray) -> np.ndarray:
-    out = []
-    often = cells[(tokens % np.uint64(CELLS)).astype(np.int64)]
-    never = float(cells.sum()) + 1.0
-    by_cost = np.argsort(often)[::-1]
-    for band in bands.probed(len(tokens)):
-        m = bands.segments[band]
-        segment, weight, total, base = _segments(tokens, band, m)
-        # The rarest and the second rarest token bound how many sets share a segment, or all of it but one token.
-        rarest, second = np.full(m, never), np.full(m, never)
-        ordered = segment[by_cost]
-        rarest[ordered] = often[by_cost]  # the last assignment, of the rarest token, stays
-        is_rarest = np.zeros(len(tokens), bool)
-        at = np.zeros(m, np.int64)
-        at[ordered] = by_cost
-        is_rarest[at[np.unique(segment)]] = True
-        rest = by_cost[~is_rarest[by_cost]]
-        second[segment[rest]] = often[rest]
-        size = np.bincount(segment, minlength=m)
-        zero = rarest + 1.0
-        one = np.maximum(zero, second + 1.0 + size)
-        need = bands.allowance(len(tokens), band)
-        pick = np.argsort(np.concatenate((zero, one)), kind="stable")[:need]
-        value = np.bincount(pick % m, minlength=m)  # 0 unused, 1 exact, 2 with neighbourhood
-        wide = value == 2
-        of_token = wide[segment]
-        out += [
-            _mix(total[value > 0] + base[value > 0] ^ _EXACT),
-            _mix(total[wide] + base[wide] ^ _DELETED),
-            _mix(total[segment[of_token]] - weight[of_token] + base[segment[of_token]] ^ _EXACT),
-        ]
-    return np.concatenate(out)
-
-
-def _emit(make):
+def _emit(make: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            values, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-            for at in range(0, len(ids), 500):
-                stop = min(at + 500, len(ids))
-                sigs = [np.unique(make(values[offsets[i] : offsets[i + 1]])).view(np.int64) for i in range(at, stop)]
-                count = [len(s) for s in sigs]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs)), pa.array(np.repeat(ids[at:stop], count)), pa.array(np.repeat(sizes[at:stop], count).astype(np.int32))], schema=_SIGNATURES
-                )
+        for ids, sizes, values in _in_parts(batches):
+            sigs, of, *more = make(values, sizes)
+            columns = sigs.view(np.int64), ids[of], sizes[of].astype(np.int32), *more
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "id", "n", "weight"][: len(columns)])
 
     return run
 
@@ -193,24 +249,63 @@ def _histogram(sets: DataFrame) -> np.ndarray:
     """How many sets' shingles fall in each cell; at most CELLS rows reach the driver."""
     cell = F.pmod(F.col("t"), F.lit(CELLS)).cast("int").alias("cell")  # the low bits, as for unsigned numbers
     counts = sets.select(F.explode("tokens").alias("t")).groupBy(cell).count().toPandas()
-    out = np.zeros(CELLS, np.float64)
+    out = np.zeros(CELLS, np.int64)
     out[counts["cell"].to_numpy()] = counts["count"].to_numpy()
     return out
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parity bits of each set: two sets differ in at least as many shingles as in bits."""
-    for batch in batches:
-        lists = batch.column(2)
-        values, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-        bits = (values >> np.uint64(32) & np.uint64(64 * PRINT_WORDS - 1)).astype(np.int64)
-        cells = [np.bincount(bits[a:b], minlength=64 * PRINT_WORDS) & 1 for a, b in zip(offsets[:-1], offsets[1:])]
-        prints = np.packbits(np.array(cells, np.uint8), axis=1).view(np.int64)
-        names = ["id", "n", *(f"f{w}" for w in range(PRINT_WORDS))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(prints[:, w])) for w in range(PRINT_WORDS))], names=names)
+    names = ["id", "n", *(f"f{w}" for w in range(PRINT_WORDS))]
+    width = 64 * PRINT_WORDS
+    for ids, sizes, values in _in_parts(batches):
+        bits = (values >> np.uint64(32) & np.uint64(width - 1)).astype(np.int64) + np.repeat(np.arange(len(ids)), sizes) * width
+        odd = (np.bincount(bits, minlength=len(ids) * width) & 1).astype(np.uint8).reshape(len(ids), width)
+        prints = np.packbits(odd, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes.astype(np.int32)), *(pa.array(np.ascontiguousarray(prints[:, w])) for w in range(PRINT_WORDS))], names=names)
+
+
+def _candidates(reps: DataFrame, limit: Threshold, free: float) -> DataFrame:
+    """(a, b), a < b, materialized: every pair of sets within the limit, and others."""
+    spark = reps.sparkSession
+    largest, shingles = (x or 0 for x in reps.agg(F.max("n"), F.sum("n")).first())
+    bands = Bands(limit, largest, free)
+    cells = spark.sparkContext.broadcast(_histogram(reps))
+    lacking = spark.sparkContext.accumulator(0)  # a task that runs again may count twice; only whether it is 0 matters
+
+    def probing(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        *found, short = probe_signatures(tokens, sizes, bands, cells.value)
+        lacking.add(int(short.sum()))
+        return tuple(found)
+
+    def short_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sizes, values in _in_parts(batches):
+            short = probe_signatures(values, sizes, bands, cells.value)[3]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[short])], names=["id"])
+
+    index = reps.mapInArrow(_emit(lambda t, n: index_signatures(t, n, bands)), _INDEX)
+    probe = reps.mapInArrow(_emit(probing), _PROBE)
+    close = F.col("ns") * limit.under >= F.col("nr") * limit.over
+    turn = (F.col("nr") > F.col("ns")) | (F.col("nr") == F.col("ns")) & (F.col("r") < F.col("s"))  # the larger set probes
+    # A pair has one row for each segment that matches: equal, or with one shingle more or less.
+    matches = index.join(probe, "sig").filter(close & turn).groupBy("r", "s", "nr").agg(F.sum("weight").alias("weight"))
+    enough = F.col("weight") > F.least(F.floor(F.col("nr") / SHARE), F.lit(SURPLUS))
+    pairs = matches.filter(enough).select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"))
+    # There are about two signatures to a shingle; partitions of bounded size keep their sort small. Adaptive
+    # execution still joins small partitions and splits those of frequent signatures.
+    with initial_partitions(spark, shingles * 2 // SORTED_ROWS):
+        pairs = materialize(pairs, "candidates")
+    if lacking.value:
+        few = materialize(reps.mapInArrow(short_sets, "id long"), "short-sets")
+        one = reps.join(few, "id", "left_semi").select(F.col("id").alias("r"), F.col("n").alias("nr"), F.explode("tokens").alias("t"))
+        all_ = reps.select(F.col("id").alias("s"), F.col("n").alias("ns"), F.explode("tokens").alias("t"))
+        more = one.join(all_, "t").filter(close & (F.col("nr") >= F.col("ns")) & (F.col("r") != F.col("s")))
+        pairs = materialize(pairs.unionAll(more.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"))).distinct(), "candidates")
+    cells.unpersist()
+    return pairs
 
 
-def similar_sets(sets: DataFrame, limit: Threshold) -> tuple[DataFrame, DataFrame]:
+def similar_sets(sets: DataFrame, limit: Threshold, free: float = FREE) -> tuple[DataFrame, DataFrame]:
     """(members, links) of ``sets`` (id unique, n, tokens).
 
     members: (id, rep), every set and the least id among the equal ones; links: (a, b, common, n_a, n_b), the pairs
@@ -220,19 +315,7 @@ def similar_sets(sets: DataFrame, limit: Threshold) -> tuple[DataFrame, DataFram
     members = sets.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")).join(sets.select("id", "h1", "h2", "n"), ["h1", "h2", "n"]).select("id", "rep")
     members = materialize(members, "set-members")
     reps = materialize(sets.join(members.filter("id = rep").select("id"), "id", "left_semi").select("id", "n", "tokens"), "set-reps")
-    largest, shingles = (x or 0 for x in reps.agg(F.max("n"), F.sum("n")).first())
-    bands = Bands(limit, largest)
-    cells = sets.sparkSession.sparkContext.broadcast(_histogram(reps))
-    index = reps.mapInArrow(_emit(lambda t: _index_signatures(t, bands)), "sig long, id long, n int").toDF("sig", "s", "ns")
-    probe = reps.mapInArrow(_emit(lambda t: _probe_signatures(t, bands, cells.value)), "sig long, id long, n int").toDF("sig", "r", "nr")
-    close = (F.col("ns") * limit.under >= F.col("nr") * limit.over) & (F.col("nr") * limit.under >= F.col("ns") * limit.over)
-    turn = (F.col("nr") > F.col("ns")) | (F.col("r") < F.col("s"))  # sets of one band probe each other; once is enough
-    pairs = index.join(probe, "sig").filter((F.col("r") != F.col("s")) & close & turn)
-    pairs = pairs.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
-    # There are some six signatures to a shingle; partitions of bounded size keep their sort small. Adaptive
-    # execution still joins small partitions and splits those of frequent signatures.
-    with initial_partitions(sets.sparkSession, shingles * 6 // SORTED_ROWS):
-        pairs = materialize(pairs, "candidates")
+    pairs = _candidates(reps, limit, free)
     prints = materialize(reps.mapInArrow(_fingerprints, "id long, n int, " + ", ".join(f"f{w} long" for w in range(PRINT_WORDS))), "fingerprints")
     left, right = (prints.toDF(x, f"n_{x}", *[f"{x}{i}" for i in range(PRINT_WORDS)]) for x in "ab")
     bits = reduce(add, (F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(PRINT_WORDS)))
@@ -258,7 +341,7 @@ def near_duplicates(
     """
     records = once(df, key, parts, loaded)
     if required:
-        records = records.filter(F.col(required).isNotNull() & (folded(F.col(required)) != ""))
+        records = records.filter(visible(F.col(required)))
     return similar_sets(shingle_sets(records, key, parts, width), limit)
 
 

@@ -50,12 +50,30 @@ _MAP = str.maketrans(_FROM, _TO)
 _WORD = re.compile(r"[^\W_]+")
 
 
+def is_blank(character: str) -> bool:
+    return _PY_BLANK.fullmatch(character) is not None
+
+
+def is_space(character: str) -> bool:
+    return _PY_SPACE.fullmatch(character) is not None
+
+
+def letter_seen(character: str) -> str:
+    """The character that a single one is taken for."""
+    return unicodedata.normalize("NFC", character.translate(_MAP)).translate(_MAP)
+
+
 def folded(text: Column) -> Column:
     """``text`` as seen, but for separate accents, as a built-in expression. Null stays null."""
     visible = F.regexp_replace(F.translate(text, _FROM, _TO), _JAVA_BLANK, "")
     return F.trim(F.regexp_replace(visible, f"[{SPACE_CLASS}]+", " "))
 
 
+def visible(text: Column) -> Column:
+    """Whether a text has anything to see, told by its first visible character; false for null."""
+    return F.coalesce(text.rlike(f"[^{SPACE_CLASS}{_JAVA_BLANK[1:-2]}]"), F.lit(False))
+
+
 #: Marks in a row, or a mark behind a letter that may hold one: only there can the order of marks be unsettled.
 _UNSETTLED = "\\p{M}{2}|[\\x{C0}-\\x{10FFFF}&&\\p{L}]\\p{M}"
 

@@ -65,19 +65,46 @@ def test_very_long_texts(spark):
 
 
 def test_signatures_meet_for_every_pair_within_the_limit():
-    """The pigeonhole itself, without fingerprints or joins, under adverse frequencies."""
+    """The pigeonhole itself, without fingerprints or joins, under adverse frequencies, at several numbers of segments."""
     draw = np.random.default_rng(3)
     for over, under in ((3, 5), (4, 5), (1, 2)):
         limit = nd.Threshold(over, under)
-        bands = nd.Bands(limit, 400)
-        cells = draw.integers(0, 1000, nd.CELLS).astype(float)
-        for _ in range(300):
-            n = int(draw.integers(1, 200))
-            both = draw.integers(0, 2**63, n).astype(np.uint64)
-            extra = [draw.integers(0, 2**63, int(draw.integers(0, n // 2 + 1))).astype(np.uint64) for _ in range(2)]
-            r, s = (np.unique(np.concatenate((both, e))) for e in extra)
-            if len(both) * under < (len(r) + len(s) - len(both)) * over:
-                continue
-            if bands.of(len(r)) < bands.of(len(s)):
-                r, s = s, r
-            assert len(np.intersect1d(nd._probe_signatures(r, bands, cells), nd._index_signatures(s, bands)))
+        cells = draw.integers(0, 1000, nd.CELLS)
+        for free in (0.5, nd.FREE, 2.0):
+            bands, lacking = nd.Bands(limit, 800, free), 0
+            for trial in range(300):
+                n = int(draw.integers(1, 12 if trial % 3 else 300))
+                both = draw.integers(0, 2**63, n).astype(np.uint64)
+                extra = [draw.integers(0, 2**63, int(draw.integers(0, n // 2 + 1))).astype(np.uint64) for _ in range(2)]
+                r, s = (np.unique(np.concatenate((both, e))) for e in extra)
+                if len(both) * under < (len(r) + len(s) - len(both)) * over:
+                    continue
+                if len(r) < len(s):
+                    r, s = s, r
+                probed, _, weight, short = nd.probe_signatures(r, np.array([len(r)]), bands, cells)
+                lacking += short[0]
+                indexed = nd.index_signatures(s, np.array([len(s)]), bands)[0]
+                assert len(np.unique(probed)) == len(probed) and len(np.unique(indexed)) == len(indexed)
+                assert short[0] or weight[np.isin(probed, indexed)].sum() > min(len(r) // nd.SHARE, nd.SURPLUS)
+            assert lacking == 0 or free < 1
+
+
+def test_batches_give_the_signatures_of_single_sets():
+    draw = np.random.default_rng(4)
+    sets = [np.unique(draw.integers(0, 2**63, int(n)).astype(np.uint64)) for n in draw.integers(1, 90, 40)]
+    sizes, bands, cells = np.array([len(s) for s in sets]), nd.Bands(nd.Threshold(3, 5), 90), 100 * draw.permutation(nd.CELLS)  # no ties
+    for make in (lambda t, n: nd.index_signatures(t, n, bands), lambda t, n: nd.probe_signatures(t, n, bands, cells)[:2]):
+        sigs, of = make(np.concatenate(sets), sizes)
+        for i, s in enumerate(sets):
+            assert sorted(sigs[of == i]) == sorted(make(s, sizes[i : i + 1])[0])
+
+
+@pytest.mark.parametrize("free", [0.4, 0.8])
+def test_sets_that_lack_segments_are_compared_all_the_same(spark, free):
+    draw = random.Random(6)
+    base = [[draw.choice(VOCABULARY) for _ in range(draw.choice([4, 12, 40]))] for _ in range(12)]
+    df = spark.createDataFrame([(i, " ".join(edited(draw, draw.choice(base)))) for i in range(120)], "doc_id long, body string")
+    sets = nd.shingle_sets(df, "doc_id", ["body"], 2)
+    limit = nd.Threshold(3, 5)
+    got = {tuple(r) for r in nd.record_pairs(*nd.similar_sets(sets, limit, free), "doc_id").collect()}
+    assert got == brute({r.id: set(r.tokens) for r in sets.collect()}, limit)
