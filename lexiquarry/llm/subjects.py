@@ -5,30 +5,29 @@ the mean of its subword vectors, both from hashed tables; one independent logist
 per subject reads it. Training runs over the sentences of a bounded sample of labelled
 documents, each sentence with the subjects of its document: in every step each partition
 computes the gradient over its share, the gradients are summed, and all continue from the
-same parameters. Then each sentence gets the subject that the model tells for it alone, or
-none, since a labelled document has sentences on other subjects too, and training goes on. A sentence is about the subject of highest output, if that passes a level;
-a document has the subjects whose sentences hold at least a given share of its words.
+same parameters. Then each sentence gets the subjects that the model tells for it alone,
+or none, since a labelled document has sentences on other subjects too, and training goes
+on. A sentence is about every subject whose output passes a level; a document has the
+subjects whose sentences hold at least a given share of its words.
+
+Words are whole, however long: subwords are all runs of the given lengths between the
+word's end marks.
 """
 
 from __future__ import annotations
 
 import io
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.seen import as_seen, words_seen
+from lexiquarry.llm.wordstream import Words, mix, words_of
 from lexiquarry.workspace import materialize
 
-_LINES = re.compile("[\n\r\u0085\u2028\u2029]+")
-_ENDS = re.compile(r"(?<=[.!?])\s+|(?<=。)")
-
 
 class Settings(NamedTuple):
     """What training and scoring depend on."""
@@ -36,36 +35,43 @@ class Settings(NamedTuple):
     max_labelled: int = 6000  #: labelled documents in the sample
     cells: int = 1 << 14  #: rows of each hashed table
     size: int = 16  #: of an embedding
-    grams: tuple[int, int] = (3, 5)  #: shortest and longest subword
+    grams: tuple[int, int] = (3, 5)  #: shortest and longest subword; the shortest must be 3 or less, so that every word has one
     steps: int = 16  #: on the labels of the documents
-    refined: int = 16  #: on each sentence's own subject, as told after these
+    refined: int = 16  #: on each sentence's own subjects, as told after these
     rate: float = 0.12
     decay: float = 1e-6
     partitions: int = 6  #: shares of the sample
-    level: float = 0.3  #: least output of a sentence about a subject
+    level: float = 0.5  #: least output of a sentence about a subject
     share: float = 0.25  #: of a document's words
     seed: int = 7
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """The words of each sentence; lines and the marks . ! ? end sentences, those without words are left out."""
-    out = []
-    for line in _LINES.split(text or ""):
-        for sentence in _ENDS.split(as_seen(line)):
-            if ws := words_seen(sentence):
-                out.append(ws)
-    return out
-
-
-def _hash(text: str, cells: int) -> int:
-    return xxhash.xxh3_64_intdigest(text) % cells
-
-
-def features(word: str, s: Settings) -> list[int]:
-    """Cell of the word, then the cells of its subwords."""
-    padded = f"<{word[:64]}>"
-    grams = {padded[i : i + n] for n in range(s.grams[0], s.grams[1] + 1) for i in range(len(padded) - n + 1)}
-    return [_hash(word, s.cells), *(_hash(f"#{g}", s.cells) for g in sorted(grams))]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def cells_of(ws: Words, which: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the chosen words: the cell of each, the cells of all their subwords, and how many each has; a subword counts as often as it occurs."""
+    lengths = ws.lengths[which] + 2
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    letters = np.zeros(int(lengths.sum()), np.uint64)
+    inside = np.ones(len(letters), bool)
+    inside[starts] = inside[ends - 1] = False
+    place = np.arange(len(letters)) - np.repeat(starts, lengths) - 1 + np.repeat(ws.starts[which], lengths)
+    letters[inside] = ws.letters[place[inside]]
+    letters[starts], letters[ends - 1] = ord("<"), ord(">")
+    owner = np.repeat(np.arange(len(which)), lengths)
+    cells, of = [], []
+    for n in range(s.grams[0], s.grams[1] + 1):
+        window = np.full(max(len(letters) - n + 1, 0), n, np.uint64)
+        for j in range(n):
+            window = mix(window + _STEP + letters[j : j + len(window)])
+        whole = np.flatnonzero(np.arange(len(window)) + n <= ends[owner[: len(window)]])
+        cells.append((window[whole] % np.uint64(s.cells)).astype(np.int64))
+        of.append(owner[whole])
+    order = np.argsort(np.concatenate(of), kind="stable")
+    words = (mix(ws.hashes[which] + _STEP) % np.uint64(s.cells)).astype(np.int64)
+    return words, np.concatenate(cells)[order], np.bincount(np.concatenate(of), minlength=len(which))
 
 
 class Model(NamedTuple):
@@ -81,53 +87,46 @@ class Model(NamedTuple):
         return Model(*tables, draw.normal(0, 0.1, (n_subjects, s.size)).astype(np.float32), np.full(n_subjects, -2.0, np.float32))
 
 
-class Vocabulary:
-    """Types seen so far and their feature cells, so that a word is taken apart once."""
-
-    def __init__(self, s: Settings):
-        self.s = s
-        self.known: dict[str, int] = {}
-        self.word: list[int] = []
-        self.grams: list[list[int]] = []
-
-    def number(self, word: str) -> int:
-        n = self.known.get(word)
-        if n is None:
-            n = self.known[word] = len(self.word)
-            w, *g = features(word, self.s)
-            self.word.append(w)
-            self.grams.append(g or [w])
-        return n
+def type_vectors(model: Model, word: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if not len(word):
+        return np.zeros((0, model.word.shape[1]), np.float32)
+    return model.word[word] + np.add.reduceat(model.gram[grams], np.cumsum(counts) - counts) / counts[:, None].astype(np.float32)
 
 
-def type_vectors(model: Model, word: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    counts = np.diff(np.append(starts, len(grams)))
-    return model.word[word] + np.add.reduceat(model.gram[grams], starts) / counts[:, None]
+def sentence_starts(ws: Words) -> np.ndarray:
+    """The number of the first word of each sentence."""
+    return np.flatnonzero(np.concatenate(([True], ws.sentences[1:] != ws.sentences[:-1]))) if len(ws.sentences) else np.zeros(0, np.int64)
 
 
 class Share:
     """A partition's sentences as arrays, which is what :meth:`save` keeps."""
 
-    _ARRAYS = ("tokens", "starts", "counts", "owner", "targets", "word", "gram_counts", "grams", "gram_starts")
+    _ARRAYS = ("tokens", "starts", "counts", "owner", "targets", "word", "gram_counts", "grams")
 
     @classmethod
-    def of(cls, docs: list[tuple[list[list[str]], np.ndarray]], s: Settings) -> Share:
+    def of(cls, texts: list[str | None], targets: np.ndarray, s: Settings) -> Share:
+        """``targets``: a row of 0 and 1 per text, a column per subject."""
         self = cls()
-        vocabulary = Vocabulary(s)
-        tokens, starts, targets = [], [], []
-        for text, target in docs:
-            for ws in text:
-                starts.append(len(tokens))
-                tokens += [vocabulary.number(w) for w in ws]
-                targets.append(target)
-        self.tokens, self.starts = np.array(tokens, np.int64), np.array(starts, np.int64)
-        self.counts = np.diff(np.append(self.starts, len(tokens))).astype(np.float32)
-        self.owner = np.repeat(np.arange(len(starts)), self.counts.astype(np.int64))
-        self.targets = np.array(targets, np.float32)
-        self.word = np.array(vocabulary.word, np.int64)
-        self.gram_counts = np.array([len(g) for g in vocabulary.grams], np.int64)
-        self.grams = np.array([g for gs in vocabulary.grams for g in gs], np.int64)
-        self.gram_starts = np.cumsum(self.gram_counts) - self.gram_counts
+        known = np.zeros(0, np.uint64)
+        hashes, starts, about, cells, n = [known], [np.zeros(0, np.int64)], [np.zeros((0, targets.shape[1]), np.float32)], [], 0
+        for first, ws in words_of(texts):
+            hashes.append(ws.hashes)
+            begin = sentence_starts(ws)
+            starts.append(begin + n)
+            about.append(targets[first + np.searchsorted(ws.offsets, begin, side="right") - 1].astype(np.float32))
+            n += len(ws.hashes)
+            types, at = np.unique(ws.hashes, return_index=True)
+            new = ~np.isin(types, known)
+            cells.append((types[new], *cells_of(ws, at[new], s)))
+            known = np.union1d(known, types)
+        types, word, grams, gram_counts = (np.concatenate(x) for x in zip(*cells)) if cells else (known, *[np.zeros(0, np.int64)] * 3)
+        order = np.argsort(types)
+        self.tokens = order[np.searchsorted(types[order], np.concatenate(hashes))] if n else np.zeros(0, np.int64)
+        self.starts = np.concatenate(starts)
+        self.counts = np.diff(np.append(self.starts, n)).astype(np.float32)
+        self.owner = np.repeat(np.arange(len(self.starts)), self.counts.astype(np.int64))
+        self.targets = np.concatenate(about)
+        self.word, self.grams, self.gram_counts = word, grams, gram_counts
         return self
 
     def save(self) -> bytes:
@@ -145,20 +144,17 @@ class Share:
 
     def outputs(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
         """Mean embedding and logistic outputs of each sentence."""
-        vectors = type_vectors(model, self.word, self.grams, self.gram_starts)
+        vectors = type_vectors(model, self.word, self.grams, self.gram_counts)
         mean = np.add.reduceat(vectors[self.tokens], self.starts) / self.counts[:, None]
         return mean, 1 / (1 + np.exp(-(mean @ model.out.T + model.bias)))
 
     def refine(self, model: Model, base: np.ndarray) -> None:
-        """Let each sentence be about its most likely subject and no other, if that is beyond half way from the subject's base rate to certainty.
+        """Let each sentence be about the subjects whose output is beyond half way from the subject's base rate to certainty, each by itself.
 
         A sentence that tells nothing of a subject gets about its base rate, however high that is.
         """
         if len(self.starts):
-            p = self.outputs(model)[1]
-            best, rows = p.argmax(1), np.arange(len(p))
-            self.targets = np.zeros_like(self.targets)
-            self.targets[rows, best] = p[rows, best] >= (1 + base[best]) / 2
+            self.targets = (self.outputs(model)[1] >= (1 + base) / 2).astype(np.float32)
 
     def gradient(self, model: Model) -> tuple[list[np.ndarray], float]:
         """Sums over the share's sentences, not means."""
@@ -208,8 +204,8 @@ def _sample(documents: DataFrame, labels: DataFrame, names: list[str], s: Settin
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"])
-        docs = [(sentences(t), np.isin(np.arange(1, n + 1), nos).astype(np.float32)) for t, nos in zip(pdf["text"], pdf["nos"])]
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "share": [Share.of(docs, s).save()]})
+        targets = np.stack([np.isin(np.arange(1, n + 1), nos) for nos in pdf["nos"]])
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "share": [Share.of(pdf["text"].tolist(), targets, s).save()]})
 
     # A share holds max_labelled / partitions documents on average, whatever the corpus.
     return rows.select(part.alias("part"), "doc_id", "text", "nos").groupBy("part").applyInPandas(make, "part int, share binary")
@@ -261,40 +257,50 @@ def train(documents: DataFrame, labels: DataFrame, names: list[str], settings: S
 
 
 class Scorer:
-    """Subjects of texts; a worker's vectors of word types are kept between batches, and start anew beyond ``most``."""
+    """Subjects of texts; a worker's vectors of words are kept between batches, and start anew beyond ``most``."""
 
     def __init__(self, model: Model, s: Settings, most: int = 200_000):
         self.model, self.s, self.most = model, s, most
         self._clear()
 
     def _clear(self) -> None:
-        self.vocabulary, self.vectors = Vocabulary(self.s), np.zeros((0, self.s.size), np.float32)
+        self.types, self.vectors = np.zeros(0, np.uint64), np.zeros((0, self.s.size), np.float32)
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.types, hashes), max(len(self.types) - 1, 0))
+        return at, self.types[at] == hashes if len(self.types) else np.zeros(len(hashes), bool)
+
+    def _numbers(self, ws: Words) -> np.ndarray:
+        """The row of each word's vector."""
+        at, there = self._find(ws.hashes)
+        if there.all():
+            return at
+        missing = np.flatnonzero(~there)
+        new, first = np.unique(ws.hashes[missing], return_index=True)
+        own = type_vectors(self.model, *cells_of(ws, missing[first], self.s)).astype(np.float32)
+        order = np.argsort(types := np.concatenate((self.types, new)))
+        self.types, self.vectors = types[order], np.concatenate((self.vectors, own))[order]
+        return self._find(ws.hashes)[0]
 
     def shares(self, texts: list[str | None]) -> np.ndarray:
         """For each text and subject the share of words in sentences about it; 0 for a text without words."""
-        if len(self.vectors) > self.most:
-            self._clear()
-        v, tokens, starts, owner = self.vocabulary, [], [], []
-        for no, text in enumerate(texts):
-            for ws in sentences(text):
-                starts.append(len(tokens))
-                owner.append(no)
-                tokens += [v.number(w) for w in ws]
         out = np.zeros((len(texts), len(self.model.bias)))
-        if not tokens:
-            return out
-        if (old := len(self.vectors)) < len(v.word):
-            counts = np.array([len(g) for g in v.grams[old:]])
-            flat = np.array([g for gs in v.grams[old:] for g in gs])
-            self.vectors = np.concatenate((self.vectors, type_vectors(self.model, np.array(v.word[old:]), flat, np.cumsum(counts) - counts).astype(np.float32)))
-        counts = np.diff(np.append(starts, len(tokens)))
-        mean = np.add.reduceat(self.vectors[tokens], starts) / counts[:, None]
-        p = 1 / (1 + np.exp(-(mean @ self.model.out.T + self.model.bias)))
-        best = p.argmax(1)
-        about = p[np.arange(len(best)), best] >= self.s.level
-        owner = np.array(owner)
-        np.add.at(out, (owner[about], best[about]), counts[about])
-        return out / np.maximum(np.bincount(owner, weights=counts, minlength=len(texts)), 1)[:, None]
+        for first, ws in words_of(texts):
+            if not len(ws.hashes):
+                continue
+            if len(self.types) > self.most:
+                self._clear()
+            starts = sentence_starts(ws)
+            counts = np.diff(np.append(starts, len(ws.hashes)))
+            numbers = self._numbers(ws)
+            mean = np.add.reduceat(self.vectors[numbers], starts) / counts[:, None]
+            about = 1 / (1 + np.exp(-(mean @ self.model.out.T + self.model.bias))) >= self.s.level
+            owner = np.searchsorted(ws.offsets, starts, side="right") - 1
+            total = np.diff(ws.offsets)
+            for subject in range(out.shape[1]):
+                held = np.bincount(owner, weights=counts * about[:, subject], minlength=len(total))
+                out[first : first + len(total), subject] = held / np.maximum(total, 1)
+        return out
 
 
 def subject_names(subjects: DataFrame) -> list[str]:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from lexiquarry.llm import subjects as s
+from lexiquarry.llm.wordstream import words_of
 
 TOPICS = {"Sea": "wave tide ship sailor harbour reef".split(), "Oven": "bread dough flour crust yeast baker".split(), "Stars": "comet orbit nebula galaxy lens planet".split()}
 FILLER = "the a of in and it was there then so".split()
@@ -61,15 +62,43 @@ def test_nothing_to_learn_from_or_to_score(spark):
     assert s.document_subjects(docs.limit(0), labels, names, SETTINGS).collect() == []
 
 
-def test_sentences():
-    assert s.sentences("One two. Three 3.5 four!\nfive\r\n\r\nSix？ seven") == [["one", "two"], ["three", "3", "5", "four"], ["five"], ["six"], ["seven"]]
-    assert s.sentences(None) == s.sentences("") == s.sentences("... !") == []
+def test_words_are_taken_whole():
+    """Words that differ only behind their 64th letter have other subwords, and a long word has all of its own."""
+    settings = s.Settings(cells=1 << 20)
+    long = "wave" * 20
+    ((_, ws),) = words_of([f"{long}tide {long}crust a {long * 500}"])
+    word, grams, counts = s.cells_of(ws, np.arange(4), settings)
+    assert len(set(word)) == 4 and counts.tolist() == [3 * (len(w) + 2) - 9 for w in (f"{long}tide", f"{long}crust")] + [1] + [3 * 40_002 - 9]
+    first, second = (set(x) for x in np.split(grams, np.cumsum(counts))[:2])
+    assert first - second and second - first and len(first & second) > 8
+
+
+def test_a_sentence_on_two_subjects():
+    """Outputs are read independently: a sentence counts for each subject whose output passes the level."""
+    settings = s.Settings(cells=256, size=2, level=0.5)
+    model = s.Model(np.zeros((256, 2), np.float32), np.zeros((256, 2), np.float32), np.eye(2, dtype=np.float32) * 50, np.full(2, -10, np.float32))
+    ((_, ws),) = words_of(["wave bread it"])
+    for at, vector in ((0, (1, 0)), (1, (0, 1))):
+        model.word[s.cells_of(ws, np.array([at]), settings)[0]] = vector
+    assert s.Scorer(model, settings).shares(["wave bread. it it", "wave wave. bread", "it", None]).tolist() == [[0.5, 0.5], [2 / 3, 1 / 3], [0, 0], [0, 0]]
+    share = s.Share.of(["wave bread. it it"], np.array([[1, 0]]), settings)
+    share.refine(model, np.array([0.1, 0.1]))
+    assert share.targets.tolist() == [[1, 1], [0, 0]]
+
+
+def test_vectors_start_anew_without_changing_results():
+    settings = s.Settings(cells=512, size=4)
+    model = s.Model.start(3, settings)
+    texts = [f"word{i} other{i}. more{i % 3} word{i}" for i in range(50)]
+    together = s.Scorer(model, settings).shares(texts)
+    apart = s.Scorer(model, settings, most=5)
+    assert np.allclose(np.concatenate([apart.shares([t]) for t in texts]), together)
 
 
 def test_gradient_by_differences():
     settings = s.Settings(cells=64, size=4)
     draw = random.Random(0)
-    share = s.Share.of([([sentence(draw, "Sea").lower().split()], np.array([1, 0], np.float32)), ([sentence(draw, "Oven").lower().split()], np.array([0, 1], np.float32))], settings)
+    share = s.Share.of([sentence(draw, "Sea"), sentence(draw, "Oven")], np.eye(2), settings)
     share = s.Share.load(share.save())
     model = s.Model(*[p.astype(np.float64) for p in s.Model.start(2, settings)])
     gradient, _ = share.gradient(model)
@@ -88,10 +117,10 @@ def test_shares_add_up():
     """Gradients of parts sum to the gradient of the whole."""
     settings = s.Settings(cells=64, size=4)
     docs, truth = corpus(random.Random(4), 12)
-    data = [(s.sentences(t), np.array([x in truth[i] for x in TOPICS], np.float32)) for i, t in docs]
+    texts, targets = [t for _, t in docs], np.array([[x in truth[i] for x in TOPICS] for i, _ in docs])
     model = s.Model.start(3, settings)
-    whole = s.Share.of(data, settings).gradient(model)[0]
-    parts = [s.Share.of(data[i::3], settings).gradient(model)[0] for i in range(3)]
+    whole = s.Share.of(texts, targets, settings).gradient(model)[0]
+    parts = [s.Share.of(texts[i::3], targets[i::3], settings).gradient(model)[0] for i in range(3)]
     for w, *p in zip(whole, *parts):
         assert np.allclose(w, sum(p), atol=1e-4)
-    assert not any(g.any() for g in s.Share.of([], settings).gradient(model)[0])
+    assert not any(g.any() for g in s.Share.of([], np.zeros((0, 3)), settings).gradient(model)[0])
