@@ -114,7 +114,7 @@ def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaks(_occurrences(spark, sf_dir))
+    return leakage.leaks(_occurrences(spark, sf_dir), leakage.item_phrases(_table(spark, sf_dir, "benchmark")))
 
 
 def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
