@@ -9,6 +9,7 @@ error, since a folder of one machine would not be seen by the others.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -25,7 +26,7 @@ def shared_root(spark: SparkSession) -> str:
     """This application's own folder below ``spark.checkpoint.dir``; it is deleted when the session's JVM ends."""
     root = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors of its own
             raise ValueError(f"set {_KEY} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lexiquarry-")
         spark.conf.set(_KEY, root)
@@ -55,12 +56,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def initial_partitions(spark: SparkSession, least: int, most: int = 100_000) -> Iterator[None]:
+def initial_partitions(spark: SparkSession, least: int) -> Iterator[None]:
     """Let shuffles of the jobs run inside start with at least so many partitions, before adaptive execution joins small ones."""
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     before = spark.conf.get(key, None)
     usual = int(before or spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set(key, str(max(usual, min(least, most))))
+    spark.conf.set(key, str(max(usual, least)))
     try:
         yield
     finally:
@@ -75,16 +76,22 @@ def drop(spark: SparkSession, where: str) -> None:
     fs.delete(path, True)
 
 
-def write_text(spark: SparkSession, where: str, text: str) -> None:
-    """Replace a small file by writing it beside its place and renaming it."""
+def names_in(spark: SparkSession, where: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    path, fs = _fs(spark, where)
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def write_new(spark: SparkSession, where: str, text: str) -> None:
+    """Write a small file that must not exist yet: whole beside its place, then renamed."""
     path, fs = _fs(spark, where)
     side, _ = _fs(spark, f"{where}.{uuid.uuid4().hex[:8]}")
-    out = fs.create(side, True)
+    out = fs.create(side, False)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(path, False)
-    if not fs.rename(side, path):
-        raise OSError(f"could not write {where}")
+    if fs.exists(path) or not fs.rename(side, path):
+        fs.delete(side, False)
+        raise FileExistsError(where)
 
 
 def read_text(spark: SparkSession, where: str) -> str | None:

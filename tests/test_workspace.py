@@ -14,12 +14,16 @@ def test_tables_lie_in_the_shared_folder(spark):
 
 def test_small_files(spark):
     where = workspace.new_path(spark, "f")
-    assert workspace.read_text(spark, where) is None
-    for text in ("one", "zwei ü", ""):
-        workspace.write_text(spark, where, text)
-        assert workspace.read_text(spark, where) == text
+    assert workspace.names_in(spark, where) == []
+    for i, text in enumerate(("one", "zwei ü", "")):
+        assert workspace.read_text(spark, f"{where}/{i}") is None
+        workspace.write_new(spark, f"{where}/{i}", text)
+        assert workspace.read_text(spark, f"{where}/{i}") == text
+    with pytest.raises(FileExistsError):
+        workspace.write_new(spark, f"{where}/0", "other")
+    assert workspace.read_text(spark, f"{where}/0") == "one" and workspace.names_in(spark, where) == ["0", "1", "2"]
     workspace.drop(spark, where)
-    assert workspace.read_text(spark, where) is None
+    assert workspace.names_in(spark, where) == []
 
 
 def test_proof_of_size(spark):
