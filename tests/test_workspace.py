@@ -41,3 +41,14 @@ def test_setting_comes_back(spark, before):
         raise RuntimeError
     assert spark.conf.get(key, None) == before
     spark.conf.unset(key)
+
+
+def test_scope(spark):
+    outside = workspace.materialize(spark.range(3), "t")
+    with workspace.scope(spark):
+        inside = workspace.materialize(spark.range(3), "t")
+        with workspace.scope(spark):
+            assert workspace.materialize(spark.range(4), "t").count() == 4
+        assert inside.count() == 3
+        folder = inside.inputFiles()[0].rpartition("/")[0]
+    assert workspace.names_in(spark, folder) == [] and outside.count() == 3
