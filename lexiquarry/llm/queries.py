@@ -33,7 +33,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The operator's observed part decides here: this query's weight is tf * ln(N / n)."""
+    """This query's weight, tf * ln(N / n), is the sum of the operator's residual and the expectation it was taken from, times tf."""
     scored = distinctive.residual_idf(_pairs(spark, sf_dir)).filter("n > 1")
     return distinctive.most_characteristic(scored, "weight").select("doc_id", "term")
 
@@ -68,8 +68,26 @@ def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _store(spark: SparkSession, sf_dir: str) -> term_counts.TermCounts:
+    """The collection as it was before its last articles arrived, then the change to what it is now.
+
+    Late articles are those loaded, or loaded again, in the last tenth of the days. Before
+    it, new ones stood under a provisional id (deleted by the change; the article is added),
+    and those loaded again held each term once more (changed). Terms of no article count as
+    they are. The change is applied as signed deltas.
+    """
+    pairs = _pairs(spark, sf_dir)
+    articles = _table(spark, sf_dir, "articles").select(F.col("doc_id").alias("id"), "loaded_at").dropna()
+    days = articles.agg(F.min("loaded_at").alias("a"), F.max("loaded_at").alias("b")).select(F.col("b") - (F.col("b") - F.col("a")) / 10).first()[0]
+    times = articles.groupBy("id").agg(F.min("loaded_at").alias("first"), F.max("loaded_at").alias("last"))
+    late = times.filter(F.col("last") >= F.lit(days)).select("id", (F.col("first") >= F.lit(days)).alias("new"))
+    marked = materialize(pairs.join(late, F.col("doc_id") == F.col("id"), "left").select("doc_id", "term", "tf", "new"), "arrived")
+    before = marked.select(
+        "term", F.when(F.col("new"), -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("doc_id"), F.when(~F.col("new"), F.col("tf") + 1).otherwise(F.col("tf")).alias("tf")
+    )
     store = term_counts.TermCounts(spark, new_path(spark, "term-counts"))
-    store.apply(_pairs(spark, sf_dir))
+    store.apply(before)
+    now = marked.filter("new IS NOT NULL")
+    store.apply(now.select("term", "doc_id", "tf"), whole=False, deleted=now.filter("new").select((-F.col("doc_id") - 1).alias("doc_id")))
     return store
 
 

@@ -1,9 +1,12 @@
 import math
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.distinctive import most_characteristic, residual_idf
+from lexiquarry import workspace
+from lexiquarry.llm import term_counts
+from lexiquarry.llm.distinctive import most_characteristic, residual_idf, residual_statistics
 from lexiquarry.llm.record_terms import record_terms
 from lexiquarry.llm.term_counts import TermCounts, marked
 from lexiquarry.workspace import materialize
@@ -89,13 +92,84 @@ def test_signed_deltas_against_counting_anew(spark, tmp_path):
     assert again.apply(as_pairs(spark, first))["added"] == 12 and counts(again) == brute(first)
 
 
-def test_only_touched_buckets_are_written(spark, tmp_path):
+def test_a_small_change_writes_little_and_buckets_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(term_counts, "SEGMENTS", 3)
     collection = {d: {f"w{d}": 1} for d in range(64)}
     store = TermCounts(spark, str(tmp_path / "s"), buckets=8)
     store.apply(as_pairs(spark, collection))
-    store.apply(as_pairs(spark, {7: {"w7": 2}}), whole=False)
-    assert sorted(store.manifest["counts"].values()).count(2) == 1 and sorted(store.manifest["records"].values()).count(2) == 1
-    assert counts(store) == brute(collection | {7: {"w7": 2}})
+    most = 0
+    for tf in range(2, 7):
+        before = store.manifest
+        store.apply(as_pairs(spark, {7: {"w7": tf}}), whole=False)
+        for table in ("records", "prints", "counts"):
+            assert sum(store.manifest[table][b] != before[table][b] for b in before[table]) == 1
+            most = max(most, *map(len, store.manifest[table].values()))
+        assert counts(store) == brute(collection | {7: {"w7": tf}}) and store.n_records() == 64
+    assert most == 3
+    assert store.vacuum() > 0 and store.vacuum() == 0 and counts(TermCounts(spark, str(tmp_path / "s"))) == brute(collection | {7: {"w7": 6}})
+
+
+@pytest.mark.parametrize("dies", ["_write:0", "_write:1", "_write:2", "write_new:0", "renamed"])
+def test_a_change_that_dies_can_be_tried_again(spark, tmp_path, monkeypatch, dies):
+    first, second = {1: {"a": 1}, 2: {"a": 2, "b": 1}}, {1: {"a": 5}, 3: {"c": 1}}
+    where = str(tmp_path / "s")
+    TermCounts(spark, where, buckets=2).apply(as_pairs(spark, first))
+    name, _, number = dies.partition(":")
+    with monkeypatch.context() as patch:
+        if name == "_write":
+            calls, write = [], TermCounts._write
+
+            def failing(self, *arguments):
+                calls.append(1)
+                if len(calls) > int(number):
+                    raise OSError("lost")
+                return write(self, *arguments)
+
+            patch.setattr(TermCounts, "_write", failing)
+        else:  # just before the manifest is in force, or just after
+            make = workspace.write_new
+
+            def failing(*arguments):
+                if name == "renamed":
+                    make(*arguments)
+                raise OSError("lost")
+
+            patch.setattr(term_counts.workspace, "write_new", failing)
+        with pytest.raises(OSError, match="lost"):
+            TermCounts(spark, where).apply(as_pairs(spark, second))
+    again = TermCounts(spark, where)
+    assert counts(again) == brute(second if dies == "renamed" else first)
+    again.apply(as_pairs(spark, second))
+    assert counts(again) == brute(second) == counts(TermCounts(spark, where))
+    again.vacuum()
+    assert counts(TermCounts(spark, where)) == brute(second) and again.n_records() == 2
+
+
+def test_two_changes_at_a_time_and_half_a_manifest(spark, tmp_path):
+    where = str(tmp_path / "s")
+    one, other = TermCounts(spark, where, buckets=2), TermCounts(spark, where, buckets=2)
+    one.apply(as_pairs(spark, {1: {"a": 1}}))
+    with pytest.raises(FileExistsError):
+        other.apply(as_pairs(spark, {1: {"b": 1}}))
+    workspace.write_new(spark, f"{where}/manifests/{9:012d}.json", '{"change": 9, "buck')
+    assert counts(TermCounts(spark, where)) == {"a": (1, 1)}
+
+
+def test_expectation_of_rare_terms(spark):
+    """Where cf / N is tiny, the expectation is ln(N / cf) to all digits."""
+    rows = spark.createDataFrame([("a", 1, 1), ("b", 1, 3), ("c", 2, 2)], "term string, n long, cf long")
+    for n_records in (10**10, 10**17):
+        got = {r.term: r for r in residual_statistics(rows, n_records).collect()}
+        for term, n, cf in (("a", 1, 1), ("b", 1, 3), ("c", 2, 2)):
+            assert abs(got[term].expected - math.log(n_records / cf)) < 1e-9 and abs(got[term].residual - math.log(cf / n)) < 1e-9
+
+
+def test_plans(spark):
+    """One shuffle gives the pairs, and the weight of p3_found is read from the residual."""
+    plan = record_terms(postings(spark, ROWS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    scored = residual_idf(materialize(record_terms(postings(spark, ROWS)), "t")).filter("n > 1")
+    assert "residual" in most_characteristic(scored, "weight")._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_marks(spark):
