@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical.canonical_forms(_table(spark, sf_dir, "articles"), "doc_id", "body", "loaded_at").drop("_stored")
+    return canonical.canonical_forms(_table(spark, sf_dir, "articles"), "doc_id", "body", "loaded_at")
 
 
 # Problem 3

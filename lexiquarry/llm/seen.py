@@ -63,10 +63,16 @@ def letter_seen(character: str) -> str:
     return unicodedata.normalize("NFC", character.translate(_MAP)).translate(_MAP)
 
 
+#: Texts of these characters alone only need their white space looked at.
+_NOT_PLAIN = "[^\\t\\n\\r -~]"
+#: White space that isn't a single space already.
+_ODD_SPACE = f"[{SPACE_CLASS}]{{2,}}|[{SPACE_CLASS}&&[^ ]]"
+
+
 def folded(text: Column) -> Column:
     """``text`` as seen, but for separate accents, as a built-in expression. Null stays null."""
-    visible = F.regexp_replace(F.translate(text, _FROM, _TO), _JAVA_BLANK, "")
-    return F.trim(F.regexp_replace(visible, f"[{SPACE_CLASS}]+", " "))
+    shown = F.when(text.rlike(_NOT_PLAIN), F.regexp_replace(F.translate(text, _FROM, _TO), _JAVA_BLANK, "")).otherwise(text)
+    return F.trim(F.regexp_replace(shown, _ODD_SPACE, " "))
 
 
 def visible(text: Column) -> Column:
@@ -74,21 +80,16 @@ def visible(text: Column) -> Column:
     return F.coalesce(text.rlike(f"[^{SPACE_CLASS}{_JAVA_BLANK[1:-2]}]"), F.lit(False))
 
 
-#: Marks in a row, or a mark behind a letter that may hold one: only there can the order of marks be unsettled.
-_UNSETTLED = "\\p{M}{2}|[\\x{C0}-\\x{10FFFF}&&\\p{L}]\\p{M}"
+#: Only a text with such a character can hold marks in an unsettled order.
+MARKS = "\\p{M}"
 
 
 @F.pandas_udf(StringType())
-def _settle(texts: pd.Series) -> pd.Series:
+def settled(texts: pd.Series) -> pd.Series:
+    """Texts with their marks in canonical order, as collation needs it. Null stays null."""
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-def settled(folded_text: Column) -> Column:
-    """Marks brought into canonical order in the few texts where that can be unsettled, as collation needs it; others as they are."""
-    unsettled = folded_text.rlike(_UNSETTLED)
-    return F.coalesce(_settle(F.when(unsettled, folded_text)), folded_text)
-
-
 def as_seen(text: str) -> str:
     """``text`` as seen, accents composed."""
     if text.isascii():
