@@ -110,8 +110,11 @@ class Encoder:
         known = self.known
         return [[i for p in c for i in known[p]] for c in cut]
 
-    def decode(self, ids: list[int]) -> str:
-        return bytes(BYTES[c] for i in ids for c in self.processor.id_to_piece(int(i))).decode()
+    def decode(self, ids: list[int | None]) -> str:
+        """Bytes that are no whole character, as of a list cut within one, and ids that are null or no token's become U+FFFD."""
+        known = len(self.processor) - 1  # the last piece stands for the unknown
+        pieces = (self.processor.id_to_piece(int(i)) if i is not None and 0 <= i < known else None for i in ids)
+        return b"".join(b"\xff" if p is None else bytes(BYTES[c] for c in p) for p in pieces).decode(errors="replace")
 
 
 @lru_cache(maxsize=2)
@@ -143,7 +146,10 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None) -> DataF
 
 
 def decode(df: DataFrame, key: str, ids: str = "ids", path: str | None = None) -> DataFrame:
-    """(key, text STRING): the inverse of :func:`encode`; an empty list gives an empty text, null gives null."""
+    """(key, text STRING): the inverse of :func:`encode`; an empty list gives an empty text, null gives null.
+
+    What isn't the encoding of a text is decoded as :meth:`Encoder.decode` says.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model(read_ranks(path or vocabulary())))
 
     @F.pandas_udf("string")

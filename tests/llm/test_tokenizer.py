@@ -40,3 +40,10 @@ def test_column(spark):
 def test_bad_vocabulary():
     with pytest.raises(ValueError):
         tokenizer.model({b"a": 0, b"b": 2})
+
+
+def test_lists_that_encode_no_text(spark):
+    (ids,) = OWN.encode(["a🔥"])
+    assert OWN.decode(ids[:-1]) == "a�" and OWN.decode([None, *ids, -1, 10**6, len(RANKS)]) == "�a🔥���" and OWN.decode([]) == ""
+    df = spark.createDataFrame([(1, ids[:-1]), (2, None), (3, [None])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in tokenizer.decode(df, "doc_id").collect()} == {1: "a�", 2: None, 3: "�"}
