@@ -26,7 +26,7 @@ class Engine:
     def build(cls, documents: DataFrame, path: str, stemmer: str = "english", kgram: bool = True) -> Engine:
         """Index documents (doc_id, body and optionally file_name, title, url, byte_size, class), replacing what lies at ``path``."""
         stored = f"{path.rstrip('/')}/documents"
-        documents.write.mode("overwrite").parquet(stored)
+        documents.write.mode("overwrite").option("parquet.bloom.filter.enabled#doc_id", "true").parquet(stored)
         return cls(Index.build(documents.sparkSession.read.parquet(stored), path, stemmer, kgram))
 
     @classmethod
@@ -49,8 +49,8 @@ class Engine:
     def search_boolean(self, query: str) -> DataFrame:
         return retrieval.search_boolean(self.index, query)
 
-    def search_ranked(self, query: str, scheme: str = "default", k: int | None = 10, kgram: bool = True, textbook: bool = False) -> DataFrame:
-        return retrieval.search_ranked(self.index, query, scheme, k, kgram, textbook)
+    def search_ranked(self, query: str, scheme: str = "default", k: int | None = 10, kgram: bool = True, textbook: bool = False, counted: bool = False) -> DataFrame:
+        return retrieval.search_ranked(self.index, query, scheme, k, kgram, textbook, counted)
 
     def search_batch(self, queries: DataFrame, text: str = "text", scheme: str = "default", k: int = 10) -> DataFrame:
         """Rank many queries (query_id, <text>) in one job."""
@@ -59,7 +59,7 @@ class Engine:
     def open_document(self, file_name: str) -> DataFrame:
         """Title, body and url of the documents of that name."""
         stored = self.spark.read.parquet(f"{self.index.path}/documents")
-        names = self.index.doc_stats.filter(F.col("file_name") == file_name).select("doc_id")
+        names = self.index.forward.filter(F.col("file_name") == file_name).select("doc_id")
         return stored.join(names, "doc_id", "left_semi").select(*[c for c in ("title", "body", "url") if c in stored.columns])
 
     # Terms
@@ -76,6 +76,9 @@ class Engine:
     def vocabulary_size(self) -> int:
         return self.index.vocabulary_size()
 
+    def kgram_status(self) -> DataFrame:
+        return self.index.kgram_status()
+
     def kgrams(self) -> DataFrame:
         return self.index.gram_list()
 
@@ -86,8 +89,7 @@ class Engine:
         if classifier not in self.CLASSIFIERS:
             raise ValueError(f"classifier must be one of {self.CLASSIFIERS}")
         own = Classifier(self.index)
-        out = own.classify_bayes(k) if classifier == "bayesian" else own.classify_rocchio()
-        return out if file_name is None else out.filter(F.col("file_name") == file_name)
+        return own.classify_bayes(k, file_name=file_name) if classifier == "bayesian" else own.classify_rocchio(file_name=file_name)
 
     def discriminating_terms(self, k: int = 50) -> DataFrame:
         return Classifier(self.index).discriminating_terms(k)

@@ -45,6 +45,12 @@ def tokens(documents: DataFrame, text: str = "body") -> DataFrame:
     return documents.select("doc_id", F.posexplode(raw_tokens(F.col(text))).alias("pos", "raw"))
 
 
+def emitted_terms(text: Column) -> Column:
+    """ARRAY<STRUCT<term, pos>> of a text's unstemmed terms in order; empty for a null text."""
+    each = F.transform(raw_tokens(text), lambda raw, at: F.transform(expanded(cleaned(raw)), lambda t: F.struct(t.alias("term"), at.alias("pos"))))
+    return F.coalesce(F.flatten(each), F.array().cast("array<struct<term:string,pos:int>>"))
+
+
 def terms(documents: DataFrame, text: str = "body", stemmer: str = "none") -> DataFrame:
     """(doc_id, pos INT, sub INT, norm, term): emitted terms; several can share a position. All in one narrow stage."""
     if stemmer not in STEMMERS:

@@ -119,12 +119,18 @@ _REMEMBERED = 500_000
 _known: dict[str, str] = {}
 
 
-@F.pandas_udf(StringType())
-def stem_column(words: pd.Series) -> pd.Series:
-    """Null stays null. Each distinct word is stemmed once a worker, not once a row."""
+def stem_all(words: list[str]) -> list[str]:
+    """The stems of distinct words; those a worker has met before aren't stemmed again."""
     if len(_known) > _REMEMBERED:
         _known.clear()
-    for w in words.dropna().unique():
+    for w in words:
         if w not in _known:
             _known[w] = stem(w)
-    return words.map(_known, na_action="ignore")
+    return [_known[w] for w in words]
+
+
+@F.pandas_udf(StringType())
+def stem_column(words: pd.Series) -> pd.Series:
+    """Null stays null. Each distinct word is stemmed once a worker, not once a row."""
+    distinct = words.dropna().unique().tolist()
+    return words.map(dict(zip(distinct, stem_all(distinct))), na_action="ignore")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions.analysis import analyze, normalize, split_words
 from lexiquarry.operators.index import Index
-from lexiquarry.plans.query_parser import Near, Phrase, QueryError, Wildcard, Word, parse
+from lexiquarry.plans.query_parser import And, Literal, Near, Or, Phrase, QueryError, Wildcard, Word, parse_tree
+from lexiquarry.workspace import materialize
 
 SCHEMES = ("default", "tfidf", "okapi", "wacky", "bm25", "plain")
 
@@ -98,34 +99,56 @@ class _Leaves:
             a, b = self.positions(atom.first), self.positions(atom.second)
             if a is None or b is None:
                 return F.lit(False)
-            return F.exists(a, lambda x: F.exists(b, lambda y: (y - x).between(1, atom.distance)))
+            return _follows(a, b, atom.distance)
         flag = self.flags(atom, negated)
         return F.lit(False) if flag is None else flag
 
 
+def _follows(a: Column, b: Column, distance: int) -> Column:
+    """Whether a position of ``b`` comes 1 to ``distance`` after one of ``a``: one pass over both, merged; of equal ones b's comes first."""
+    merged = F.array_sort(F.concat(F.transform(a, lambda x: x.cast("long") * 2 + 1), F.transform(b, lambda y: y.cast("long") * 2)))
+    start = F.struct(F.lit(-(1 << 40)).alias("last"), F.lit(False).alias("met"))
+
+    def step(state: Column, x: Column) -> Column:
+        own = x % 2 == 1
+        place = F.shiftright(x, 1)
+        return F.struct(F.when(own, place).otherwise(state["last"]).alias("last"), (state["met"] | (~own & (place - state["last"] <= distance))).alias("met"))
+
+    return F.aggregate(merged, start, step, lambda state: state["met"])
+
+
+def _conditions(leaves: _Leaves, node: Or | And | Literal) -> tuple[Column, Column]:
+    """Whether a part of a query is met, and whether it is met by a clause with a positive literal."""
+    if isinstance(node, Literal):
+        met = leaves.condition(node.atom, node.negated)
+        return (~met, F.lit(False)) if node.negated else (met, met)
+    each = [_conditions(leaves, item) for item in node.items]
+    met, positive = ([x[i] for x in each] for i in (0, 1))
+    if isinstance(node, Or):
+        return reduce(Column.__or__, met), reduce(Column.__or__, positive)
+    return reduce(Column.__and__, met), reduce(Column.__and__, met) & reduce(Column.__or__, positive)
+
+
 def search_boolean(index: Index, query: str) -> DataFrame:
     """(doc_id, file_name) of the documents that satisfy a query.
 
     A clause without a positive literal is empty, as is one with an unknown positive term.
-    NEAR is ordered: 1 to k positions from the first to the second. One scan of the
-    postings of all terms asked for and one shuffle on the document, whatever the clauses.
+    NEAR is ordered: 1 to k positions from the first to the second. The tree of the query is
+    one condition, as long as the query. One scan of the postings of all terms asked for and
+    one shuffle on the document, whatever the clauses.
     """
     leaves = _Leaves(index.stemmer)
-    clauses = []
-    for clause in parse(query):
-        if any(not x.negated for x in clause):
-            met = [leaves.condition(x.atom, x.negated) for x in clause]
-            clauses.append(reduce(Column.__and__, [~m if x.negated else m for x, m in zip(clause, met)]))
-    stats = index.doc_stats.select("doc_id", "file_name")
-    if not clauses or not leaves.numbers:
-        return stats.limit(0)
+    tree = parse_tree(query)
+    condition = _conditions(leaves, tree)[1] if tree.items else None
+    names = index.forward.select("doc_id", "file_name")
+    if condition is None or not leaves.numbers:
+        return names.limit(0)
     hits = _leaf_postings(index, leaves)
     flags = [F.max(F.col("_leaf") == n).alias(f"_f{n}") for n in leaves.numbers.values()]
     at = [
         F.array_distinct(F.flatten(F.collect_list(F.when(F.col("_leaf") == n, F.col("positions"))))).alias(f"_p{n}") for n in sorted(leaves.with_positions)
     ]
-    found = hits.groupBy("doc_id").agg(*flags, *at).filter(reduce(Column.__or__, clauses)).select("doc_id")
-    return found.join(stats, "doc_id")
+    return hits.groupBy("doc_id").agg(*flags, *at).filter(condition).select("doc_id").join(names, "doc_id")
 
 
 def _leaf_postings(index: Index, leaves: _Leaves) -> DataFrame:
@@ -181,13 +204,19 @@ def normalizer(scheme: str) -> Column:
     return F.lit(1.0) if scheme in ("okapi", "bm25") else F.sqrt("byte_size")
 
 
+def _bag(tree: Or) -> list[Literal]:
+    if len(tree.items) > 1:
+        raise QueryError("Invalid Query")
+    return [x for clause in tree.items for item in clause.items for x in ([item] if isinstance(item, Literal) else _bag(item))]
+
+
 def query_terms(index: Index, query: str, kgram: bool = True) -> tuple[list[str], list[str]]:
     """Index terms of a ranked query, repeated as often as they are asked for, and its wildcards. Only a bag of words is valid."""
-    clauses = parse(query)
-    if len(clauses) > 1 or any(x.negated or isinstance(x.atom, (Phrase, Near)) for c in clauses for x in c):
+    literals = _bag(parse_tree(query))
+    if any(x.negated or isinstance(x.atom, (Phrase, Near)) for x in literals):
         raise QueryError("Invalid Query")
     words, wild = [], []
-    for literal in clauses[0] if clauses else ():
+    for literal in literals:
         if isinstance(literal.atom, Wildcard):
             wild += [literal.atom.pattern] * kgram
         else:
@@ -195,50 +224,82 @@ def query_terms(index: Index, query: str, kgram: bool = True) -> tuple[list[str]
     return words, wild
 
 
-def rank(
-    index: Index, queries: DataFrame, scheme: str = "default", k: int | None = 10, textbook: bool = False, decimals: int = 6, only: list[str] | None = None
-) -> DataFrame:
-    """(query_id, rank, doc_id, file_name, score): top k of each query; ``queries`` has (query_id, term), a repeated term counts again.
+def scores(index: Index, queries: DataFrame, scheme: str = "default", textbook: bool = False, decimals: int = 6, only: list[str] | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of all documents that the queries (query_id, term) find; a repeated term counts again.
 
-    Unknown terms add nothing; documents with a sum of 0 aren't found. Ranked on the score
-    rounded to ``decimals``, of equals the lesser doc_id first. The queries join the
-    postings on the term, where AQE splits heavy terms; the best k of each query are taken
-    before and after the last shuffle. k None: all. ``only``: all terms of the queries, if
-    they are few and known; scans are then restricted to them.
+    Unknown terms add nothing; documents with a sum of 0 aren't found. The postings hold
+    what the weights need of a document, so the only large shuffle is of the sums. Queries
+    join the postings on the term, where the engine splits heavy terms; weighted queries
+    are broadcast by it if they turn out small. ``only``: all terms of the queries, if they
+    are few and known; scans are then restricted to them.
     """
     if scheme not in SCHEMES:
         raise ValueError(f"scheme must be one of {SCHEMES}")
     asked = queries.groupBy("query_id", "term").agg(F.count("*").alias("_times"))
-    corpus = index.corpus_stats.first()
-    n = F.lit(float(corpus["n_docs"]))
+    n = F.lit(float(index.n_docs()))
     vocab, postings = index.vocab, index.postings
     if only is not None:
         vocab, postings = (t.filter(F.col("term").isin(only)) for t in (vocab, postings))
     weighted = asked.join(vocab, "term").withColumn("_wqt", F.col("_times") * query_weight(scheme, n, F.col("df"), textbook)).select("query_id", "term", "_wqt")
-    hits = postings.select("term", "doc_id", "tf").join(weighted, "term")
-    stats = index.doc_stats.select("doc_id", "file_name", "l_d", "avg_tftd", "byte_size", F.col("doc_length").alias("_length"))
-    if scheme in ("wacky", "bm25"):  # the document's weight needs its statistics before the sum
-        hits = hits.join(stats.select("doc_id", "avg_tftd", "_length"), "doc_id")
-    wdt = document_weight(scheme, F.col("tf"), F.col("avg_tftd"), F.col("_length"), corpus["avg_doc_length"])
-    sums = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("_wqt") * wdt).alias("_sum")).filter("_sum > 0")
-    scored = sums.join(stats, "doc_id").select("query_id", "doc_id", "file_name", F.round(F.col("_sum") / normalizer(scheme), decimals).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    ranked = scored.withColumn("rank", F.row_number().over(order))
-    return (ranked if k is None else ranked.filter(F.col("rank") <= k)).select("query_id", "rank", "doc_id", "file_name", "score")
-
-
-def search_ranked(index: Index, query: str, scheme: str = "default", k: int | None = 10, kgram: bool = True, textbook: bool = False) -> DataFrame:
-    """(rank, doc_id, file_name, score) of one query. Each expansion of a wildcard counts as a term of its own."""
+    wdt = document_weight(scheme, F.col("tf"), F.col("avg_tftd"), F.col("doc_length"), index.settings["avg_doc_length"])
+    hits = postings.select("term", "doc_id", wdt.alias("_wdt"), normalizer(scheme).alias("_norm")).join(weighted, "term")
+    sums = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("_wqt") * F.col("_wdt")).alias("_sum"), F.max("_norm").alias("_norm")).filter("_sum > 0")
+    return sums.select("query_id", "doc_id", F.round(F.col("_sum") / F.col("_norm"), decimals).alias("score"))
+
+
+def rank(
+    index: Index, queries: DataFrame, scheme: str = "default", k: int | None = 10, textbook: bool = False, decimals: int = 6, only: list[str] | None = None, counted: bool = False
+) -> DataFrame:
+    """(query_id, rank, doc_id, file_name, score): top k of each query; see :func:`scores`.
+
+    Ranked on the score rounded to ``decimals``, of equals the lesser doc_id first. The best
+    k of each query are taken before and after the last shuffle; names are joined to those
+    alone. k None: all, numbered over range partitions. ``counted`` adds ``matches``, how
+    many documents the query finds; the scores are then written once and read twice.
+    """
+    scored = scores(index, queries, scheme, textbook, decimals, only)
+    if counted:
+        scored = materialize(scored, "scores")
+    if k is None:
+        ranked = _numbered(scored)
+    else:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+        ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    out = ranked.join(index.forward.select("doc_id", "file_name"), "doc_id").select("query_id", "rank", "doc_id", "file_name", "score")
+    return out.join(scored.groupBy("query_id").agg(F.count("*").alias("matches")), "query_id") if counted else out
+
+
+def _numbered(scored: DataFrame) -> DataFrame:
+    """Add ``rank`` within each query without bringing a query's rows into one task: its rows before each partition are counted."""
+    ordered = scored.repartitionByRange("query_id", F.desc("score"), "doc_id").sortWithinPartitions("query_id", F.desc("score"), "doc_id")
+    placed = materialize(ordered.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "ranked")
+    parts = placed.groupBy("query_id", "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("query_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select("query_id", "_part", (F.col("_first") - F.coalesce(before, F.lit(0)) - 1).alias("_start"))
+    return placed.join(starts, ["query_id", "_part"]).select("query_id", "doc_id", "score", (F.col("_row") - F.col("_start")).cast("int").alias("rank"))
+
+
+def _asked(index: Index, query: str, kgram: bool) -> tuple[DataFrame, list[str] | None]:
+    """(query_id, term) of one query with its wildcards expanded, and its terms if it has none."""
     words, wild = query_terms(index, query, kgram)
     asked = index.spark.createDataFrame([(0, w) for w in words], "query_id int, term string")
     for pattern in wild:
         asked = asked.unionByName(expand_wildcard(index, pattern).select(F.lit(0).alias("query_id"), "term"))
-    return rank(index, asked, scheme, k, textbook, only=None if wild else sorted(set(words))).drop("query_id")
+    return asked, None if wild else sorted(set(words))
+
+
+def search_ranked(
+    index: Index, query: str, scheme: str = "default", k: int | None = 10, kgram: bool = True, textbook: bool = False, counted: bool = False
+) -> DataFrame:
+    """(rank, doc_id, file_name, score) of one query, with ``counted`` also matches. Each expansion of a wildcard counts as a term of its own."""
+    asked, only = _asked(index, query, kgram)
+    return rank(index, asked, scheme, k, textbook, only=only, counted=counted).drop("query_id")
 
 
 def count_ranked(index: Index, query: str, scheme: str = "default") -> int:
     """How many documents a ranked query finds."""
-    return search_ranked(index, query, scheme, None).count()
+    asked, only = _asked(index, query, True)
+    return scores(index, asked, scheme, only=only).count()
 
 
 def batch_terms(index: Index, queries: DataFrame, text: str = "text") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from lexiquarry.operators.index import Index, corpus_table
+from lexiquarry.operators.index import Index
+from lexiquarry.workspace import names_in
 
 
 def stream_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -34,10 +35,20 @@ class SegmentedIndex(Index):
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> SegmentedIndex:
-        return cls(spark, path, spark.read.parquet(f"{path.rstrip('/')}/segment=*/corpus").first()["stemmer"])
+        where = [f"{path.rstrip('/')}/{name}" for name in names_in(spark, path) if name.startswith("segment=") and names_in(spark, f"{path.rstrip('/')}/{name}/builds")]
+        each = {at: cls.settings_at(spark, at) for at in where}
+        if not each:
+            raise FileNotFoundError(f"no segments at {path}")
+        sizes = [(s["n_docs"], s["avg_doc_length"] or 0.0) for s in each.values()]
+        n = sum(a for a, _ in sizes)
+        settings = {
+            "stemmer": next(iter(each.values()))["stemmer"], "kgram": all(s["kgram"] for s in each.values()),
+            "n_docs": n, "avg_doc_length": sum(a * b for a, b in sizes) / n if n else None, "folders": [f"{at}/build={s['build']}" for at, s in each.items()],
+        }
+        return cls(spark, path, settings)
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/segment=*/{name}")
+        return self.spark.read.parquet(*[f"{folder}/{name}" for folder in self.settings["folders"]])
 
     @property
     def vocab(self) -> DataFrame:
@@ -45,12 +56,8 @@ class SegmentedIndex(Index):
 
     @property
     def norms(self) -> DataFrame:
-        return self._table("norms").distinct()
+        return super().norms if self.stemmer == "none" else self._table("norms").distinct()
 
     @property
     def kgrams(self) -> DataFrame:
-        return self._table("kgrams").distinct()
-
-    @property
-    def corpus_stats(self) -> DataFrame:
-        return corpus_table(self.doc_stats)
+        return super().kgrams.distinct()
