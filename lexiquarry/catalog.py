@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexiquarry import queries_core, queries_skew
+from lexiquarry import queries_core, queries_engine, queries_skew
 
-QUERIES = {**queries_core.QUERIES, **queries_skew.QUERIES}
-SQL = {**queries_core.SQL, **queries_skew.SQL}
+QUERIES = {**queries_core.QUERIES, **queries_engine.QUERIES, **queries_skew.QUERIES}
+SQL = {**queries_core.SQL, **queries_engine.SQL, **queries_skew.SQL}
 flagship = queries_core.flagship

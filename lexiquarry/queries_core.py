@@ -130,7 +130,6 @@ _add(
 FROM stats WHERE doc_id = (SELECT min(doc_id) FROM docs)""",
 )
 _add("inverted_index", _on_index(lambda i: i.inverted()), f"{_EMITTED} SELECT DISTINCT term, doc_id FROM emitted")
-_add("stemmed_vocab", _on_index(lambda i: i.vocab, "english"), None)
 
 # K-grams and wildcards
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lexiquarry.functions.analysis import WHITE
-from lexiquarry.workspace import materialize
+from lexiquarry.workspace import _fs, materialize
 
 JSON_DOCUMENT = StructType([StructField(name, StringType()) for name in ("title", "body", "url")])
 
@@ -18,10 +19,22 @@ def _file_columns():
     return F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("byte_size")
 
 
+_EMPTY = re.compile(r"FileStatus\{path=([^;]*); isDirectory=false; length=0;")
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(name, path) of the files without bytes in a folder, which Spark's readers leave out. The listing comes over as one text, not a call for each file."""
+    where, fs = _fs(spark, path)
+    listed = spark.sparkContext._jvm.org.apache.commons.lang3.ArrayUtils.toString(fs.listStatus(where)) if fs.exists(where) else ""
+    return [(name, found) for found in _EMPTY.findall(listed) for name in (found.rpartition("/")[2],) if not name.startswith((".", "_"))]
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, title, body, url, byte_size) of the files without the ending ``.json``: the body is the whole file, the title its path, the url empty."""
+    """(file_name, title, body, url, byte_size) of the files without the ending ``.json``: the body is the whole file, the title its path, the url empty. An empty file is an empty document."""
     files = spark.read.text(path, wholetext=True).filter(~F.endswith(F.col("_metadata.file_name"), F.lit(".json")))
-    return files.select(_file_columns()[0], F.col("_metadata.file_path").alias("title"), F.col("value").alias("body"), F.lit("").alias("url"), _file_columns()[1])
+    read = files.select(_file_columns()[0], F.col("_metadata.file_path").alias("title"), F.col("value").alias("body"), F.lit("").alias("url"), _file_columns()[1])
+    empty = [(name, found, "", "", 0) for name, found in _empty_files(spark, path) if not name.endswith(".json")]
+    return read.unionAll(spark.createDataFrame(empty, "file_name string, title string, body string, url string, byte_size long")) if empty else read
 
 
 def read_json(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
