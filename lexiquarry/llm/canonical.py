@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.seen import MARKS, folded, settled
+from lexiquarry.llm.seen import MARKS, UNSETTLED, folded, settled
 from lexiquarry.workspace import materialize
 
 
@@ -28,7 +28,7 @@ def once(df: DataFrame, key: str, value: list[str], loaded: str | None = None) -
 # for Latin texts, which orders sharp s after composed and separate accents inconsistently; sorted groups would tear.
 _CLASSES = """
 SELECT _digest, first_value(_form) OVER class AS canonical, min(_least) OVER class AS class_id
-FROM (SELECT *, concat(_form, '一') COLLATE UNICODE AS _shown FROM {forms})
+FROM (SELECT *, concat(coalesce(_settled, _form), '一') COLLATE UNICODE AS _shown FROM {forms})
 WINDOW class AS (PARTITION BY _shown ORDER BY octet_length(_form), _form ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 """
 
@@ -42,14 +42,15 @@ def _classes(df: DataFrame, key: str, text: str, loaded: str | None) -> tuple[Da
     rows = df.select(F.col(key).alias("_key"), (F.col(loaded) if loaded else F.lit(0)).alias("_at"), F.col(text).alias("_text")).filter("_key IS NOT NULL")
     marks = F.coalesce(F.col("_text").rlike(MARKS), F.lit(False))
     plain, marked = (rows.filter(c).withColumn("_form", folded(F.col("_text"))) for c in (~marks, marks))
-    both = plain.unionByName(marked.withColumn("_form", settled("_form"))).withColumns({"_form": F.nullif("_form", F.lit("")), "_stored": _digest("_text")})
+    settling = settled(F.when(F.col("_form").rlike(UNSETTLED), F.col("_form")))  # null for texts that are in order
+    both = plain.withColumn("_settled", F.lit(None).cast("string")).unionByName(marked.withColumn("_settled", settling)).withColumns({"_form": F.nullif("_form", F.lit("")), "_stored": _digest("_text")})
     # Read twice below, once without the texts, and mapping is the dearest step: written once.
-    mapped = materialize(both.select("_key", "_at", "_form", "_stored", _digest("_form").alias("_digest")), "mapped")
+    mapped = materialize(both.select("_key", "_at", "_form", "_settled", "_stored", _digest("_form").alias("_digest")), "mapped")
     latest = mapped.groupBy("_key").agg(F.max(F.struct("_at", "_stored", "_digest")).alias("_row"))
     records = materialize(latest.select("_key", "_row._stored", "_row._digest"), "records")
     # Equal mapped texts are first made one row, so a text held by a third of all records is one member.
     used = records.filter("_digest IS NOT NULL").groupBy("_digest").agg(F.min("_key").alias("_least"))
-    texts = mapped.filter("_digest IS NOT NULL").groupBy("_digest").agg(F.any_value("_form").alias("_form"))
+    texts = mapped.filter("_digest IS NOT NULL").groupBy("_digest").agg(F.any_value("_form").alias("_form"), F.any_value("_settled").alias("_settled"))
     return records, df.sparkSession.sql(_CLASSES, forms=texts.join(used, "_digest"))
 
 

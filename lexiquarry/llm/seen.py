@@ -93,6 +93,8 @@ def visible(text: Column) -> Column:
 
 #: Only a text with such a character can hold marks in an unsettled order.
 MARKS = "\\p{M}"
+#: Marks in a row, or a mark behind a letter that may hold one: only there is the order unsettled.
+UNSETTLED = "\\p{M}{2}|[\\x{C0}-\\x{10FFFF}&&\\p{L}]\\p{M}"
 
 
 @F.pandas_udf(StringType())
