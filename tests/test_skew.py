@@ -4,6 +4,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lexiquarry.operators import skew
 from lexiquarry.operators.skew import _runs, heavy_keys, key_states
 from lexiquarry.workspace import materialize
 
@@ -27,15 +28,10 @@ row = st.tuples(st.sampled_from("abc"), st.integers(0, 3), st.integers(0, 4))
 @given(st.lists(row, max_size=40), st.lists(st.integers(1, 7), min_size=1, max_size=40), st.sets(st.integers(0, 40), max_size=4))
 def test_cuts_and_batches_do_not_change_the_result(rows, sizes, cuts):
     rows.sort()
-    # Cut into partitions as range partitioning would: equal rows stay together.
-    parts, at = [], 0
-    for c in [*sorted(cuts), len(rows)]:
-        c = min(c, len(rows))
-        while 0 < c < len(rows) and rows[c] == rows[c - 1]:
-            c += 1
-        if c > at:
-            parts.append(rows[at:c])
-            at = c
+    # Cut anywhere, also between equal rows, as the counter behind the position allows.
+    edges = [0, *sorted(min(c, len(rows)) for c in cuts), len(rows)]
+    parts = [rows[a:b] for a, b in zip(edges, edges[1:]) if a < b]
+    ends = defaultdict(set)
     runs = defaultdict(lambda: [0, 0, 0])
     for part in parts:
         batches, i, j = [], 0, 0
@@ -47,13 +43,18 @@ def test_cuts_and_batches_do_not_change_the_result(rows, sizes, cuts):
         for out in _runs(iter(batches)):
             for x in out.to_pylist():
                 s = runs[x["k"], x["r"]]
-                s[0] += x["occurrences"]
-                boundary += x["r"] is not None
-                s[1] = 1 if x["r"] is not None else s[1] + x["records"]
-                s[2] = s[2] + x["max_in_record"] if x["r"] is not None else max(s[2], x["max_in_record"])
+                if x["r"] is None:
+                    s[0], s[1], s[2] = s[0] + x["occurrences"], s[1] + x["records"], max(s[2], x["max_in_record"])
+                else:
+                    boundary += 1
+                    s[0] += x["occurrences"] - len({x["first"], x["last"]})
+                    s[1] = 1
+                    ends[x["k"], x["r"]] |= {x["first"], x["last"]}
         assert boundary <= 2
     got = {}
-    for (k, _), (a, b, c) in runs.items():
+    for (k, r), (a, b, c) in runs.items():
+        if r is not None:
+            a = c = a + len(ends[k, r])
         x = got.get(k, (0, 0, 0))
         got[k] = (x[0] + a, x[1] + b, max(x[2], c))
     assert got == brute(rows)
@@ -70,3 +71,39 @@ def test_nulls_repeats_clashing_columns_and_heavy_key(spark):
 def test_empty_table(spark):
     states = key_states(spark.createDataFrame([], "term string, m_doc_id long, pos int"), "term", "m_doc_id", "pos")
     assert states.collect() == [] and heavy_keys(states, "term", 70).collect() == []
+
+
+def test_hot_row_and_partitions_by_size(spark, monkeypatch):
+    hot = spark.range(50_000).selectExpr("'a' AS k", "1L AS r", "2L AS p").unionAll(spark.range(300).selectExpr("'b'", "id", "id % 2"))
+    for size in (32 << 20, 1000):  # as the setting says, and many partitions
+        monkeypatch.setattr(skew, "PARTITION_BYTES", size)
+        got = {tuple(r) for r in key_states(hot, "k", "r", "p").collect()}
+        assert got == {("a", 1, 1, 1), ("b", 300, 300, 1)}
+
+
+def test_a_row_repeated_without_end_is_cut(spark):
+    hot = spark.range(0, 40_000, 1, 4).selectExpr("'a' AS term", "1L AS m_doc_id", "2 AS pos").unionAll(spark.range(100).selectExpr("'a'", "1L", "cast(id AS int)"))
+    run = skew._runs
+
+    def counting(batches):
+        seen = list(batches)
+        yield from run(iter(seen))
+        if n := sum(b.num_rows for b in seen):
+            rows.add(n)
+
+    from pyspark.accumulators import AccumulatorParam
+
+    class Most(AccumulatorParam):
+        def zero(self, value):
+            return value
+
+        def addInPlace(self, a, b):
+            return max(a, b)
+
+    rows = spark.sparkContext.accumulator(0, Most())
+    skew._runs = counting
+    try:
+        got = [tuple(r) for r in key_states(hot, "term", "m_doc_id", "pos", partitions=8).collect()]
+    finally:
+        skew._runs = run
+    assert got == [("a", 100, 1, 100)] and rows.value < 12_000
