@@ -138,7 +138,7 @@ def key_states(df: DataFrame, key: str, record: str, position: str, partitions:
     """
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(record).cast("long").alias("r"), F.col(position).cast("long").alias("p")).dropna()
     partitions = partitions or _range_partitions(rows)
-    numbered = rows.withColumn("c", (F.monotonically_increasing_id() % CUTS).cast("short"))
+    numbered = rows.withColumn("c", (F.shiftright(F.monotonically_increasing_id(), 8) % CUTS).cast("short"))  # the same for neighbours, so it packs well
     order = ("k", "r", "p", "c")
     ranged = numbered.repartitionByRange(partitions, *order) if partitions else numbered.repartitionByRange(*order)
     partial = ranged.select("k", "r", "p").sortWithinPartitions("k", "r", "p").mapInArrow(_runs, _PARTIAL)
