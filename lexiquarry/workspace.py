@@ -75,12 +75,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def initial_partitions(spark: SparkSession, least: int) -> Iterator[None]:
-    """Let shuffles of the jobs run inside start with at least so many partitions, before adaptive execution joins small ones."""
-    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the jobs that run inside."""
     before = spark.conf.get(key, None)
-    usual = int(before or spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set(key, str(max(usual, least)))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -90,6 +88,22 @@ def initial_partitions(spark: SparkSession, least: int) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+@contextmanager
+def initial_partitions(spark: SparkSession, least: int) -> Iterator[None]:
+    """Let shuffles of the jobs run inside start with at least so many partitions, before adaptive execution joins small ones."""
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    usual = int(spark.conf.get(key, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    with setting(spark, key, str(max(usual, least))):
+        yield
+
+
+@contextmanager
+def hashed_joins(spark: SparkSession, most_bytes: int) -> Iterator[None]:
+    """Let adaptive execution join by hash tables instead of sorting where every partition of a side is measured to be at most so large."""
+    with setting(spark, "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", str(most_bytes)):
+        yield
+
+
 def drop(spark: SparkSession, where: str) -> None:
     path, fs = _fs(spark, where)
     fs.delete(path, True)
