@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from lexiquarry.llm.canonical import once
 from lexiquarry.llm.seen import visible
 from lexiquarry.llm.wordstream import mix, words_of
-from lexiquarry.workspace import initial_partitions, materialize
+from lexiquarry.workspace import hashed_joins, initial_partitions, materialize
 
 #: Cells of the shingle histogram: 8 bytes each, whatever the corpus.
 CELLS = 1 << 18
@@ -61,6 +61,8 @@ SURPLUS, SHARE = 4, 16
 SHINGLES = 250_000
 #: Signatures to sort in a task.
 SORTED_ROWS = 500_000
+#: Largest partition that is joined by a hash table instead of sorting; it is measured.
+HASHED_BYTES = 32 << 20
 #: Words of 64 bits in a fingerprint.
 PRINT_WORDS = 8
 
@@ -293,7 +295,7 @@ def _candidates(reps: DataFrame, limit: Threshold, free: float) -> DataFrame:
     pairs = matches.filter(enough).select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"))
     # There are about two signatures to a shingle; partitions of bounded size keep their sort small. Adaptive
     # execution still joins small partitions and splits those of frequent signatures.
-    with initial_partitions(spark, shingles * 2 // SORTED_ROWS):
+    with initial_partitions(spark, shingles * 2 // SORTED_ROWS), hashed_joins(spark, HASHED_BYTES):
         pairs = materialize(pairs, "candidates")
     if lacking.value:
         few = materialize(reps.mapInArrow(short_sets, "id long"), "short-sets")
