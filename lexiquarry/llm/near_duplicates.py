@@ -39,7 +39,6 @@ from operator import add
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,20 +72,21 @@ def shingle_sets(df: DataFrame, key: str, parts: list[str], width: int) -> DataF
     """(id, n INT, tokens ARRAY<LONG>): the shingles of the words of the parts joined by spaces; a null part counts as empty."""
     text = F.concat_ws(" ", *[F.coalesce(F.col(p), F.lit("")) for p in parts])
 
-    @F.pandas_udf("array<long>")
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            sets: list[np.ndarray] = []
-            for _, ws in words_of(texts.tolist()):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: list[np.ndarray] = [np.zeros(0, np.uint64)]
+            for _, ws in words_of(batch.column(1).to_pylist()):
                 runs = np.zeros(max(len(ws.hashes) - width + 1, 0), np.uint64)
                 for i in range(width):
                     runs = mix(runs + _A + ws.hashes[i : i + len(runs)])
                 stops = np.maximum(ws.offsets[1:] - width + 1, ws.offsets[:-1])
-                sets += [np.unique(runs[a:b]).view(np.int64) for a, b in zip(ws.offsets[:-1].tolist(), stops.tolist())]
-            yield pd.Series(sets, dtype=object)
+                sets += [np.unique(runs[a:b]) for a, b in zip(ws.offsets[:-1].tolist(), stops.tolist())]
+            sizes = np.array([len(x) for x in sets[1:]], np.int64)
+            some = sizes > 0
+            tokens = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes[some]))).astype(np.int32), np.concatenate(sets).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some)), pa.array(sizes[some].astype(np.int32)), tokens], names=["id", "n", "tokens"])
 
-    sets = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), tokens(text).alias("tokens"))
-    return sets.select("id", F.size("tokens").alias("n"), "tokens").filter("n > 0")
+    return df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text.alias("text")).mapInArrow(cut, "id long, n int, tokens array<long>")
 
 
 class Threshold(NamedTuple):
