@@ -20,6 +20,6 @@ def record_terms(postings: DataFrame, term: str = "term", record: str = "m_doc_i
     the positions of one term in one record.
     """
     held = postings.select(F.col(term).cast("string").alias("term"), F.col(record).cast("long").alias("doc_id"), F.col(positions).alias("_at"))
-    sent = held.filter("term IS NOT NULL AND doc_id IS NOT NULL AND size(_at) > 0").groupBy("term", "doc_id").agg(F.collect_set("_at").alias("_sent"))
+    sent = held.filter("term IS NOT NULL AND doc_id IS NOT NULL AND exists(_at, x -> x IS NOT NULL)").groupBy("term", "doc_id").agg(F.collect_set("_at").alias("_sent"))
     distinct = F.size(F.array_compact(F.array_distinct(F.flatten("_sent")))).cast("long")
-    return sent.select("term", "doc_id", distinct.alias("tf")).filter("tf > 0")
+    return sent.select("term", "doc_id", distinct.alias("tf"))
