@@ -1,5 +1,6 @@
 """Five small documents of call words, one word a line."""
 
+# The goldens of the tests are computed from these words.
 DOCS = {
     "doc1.txt": "papa romeo november november xray delta hotel hotel alpha bravo mike lima hotel",
     "doc2.txt": "bravo papa lima sierra bravo november yankee foxtrot charlie tango kilo sierra alpha mike zulu",

@@ -1,14 +1,17 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexiquarry import workspace
 from lexiquarry.engine import Engine
 from lexiquarry.operators.classify import Classifier
-from lexiquarry.operators.index import Index
-from lexiquarry.operators.retrieval import expand_by_grams, expand_wildcard, rank
+from lexiquarry.operators.index import Index, NoGrams, forward_table, normalized_documents
+from lexiquarry.operators.retrieval import count_ranked, expand_by_grams, expand_wildcard, rank
 from lexiquarry.plans.query_parser import QueryError
+from lexiquarry.sources.call_words import CALL_WORDS, call_word_documents
 from lexiquarry.sources.collections import read_classes, read_directory
 from lexiquarry.streaming.segments import SegmentedIndex, index_stream, stream_table
 from tests.fixture_docs import DOCS, write
@@ -61,6 +64,7 @@ def test_postings(engine):
     [
         ("alpha", "125"), ("alpha bravo", "12"), ("alpha -november", ""), ("alpha + mike", "12345"), ("kilo NEAR/3 mike", "2"), ("kilo NEAR/4 mike", "23"), ("mike NEAR/3 kilo", ""),
         ('"alpha bravo"', "1"), ('"november november"', "1"), ("-alpha", ""), ("zzz alpha", ""), ("zzz + alpha", "125"), ("alpha -zzz", "125"), ("alpha (bravo + kilo)", "125"),
+        ("mike -kilo NEAR/4 mike", "14"), ("-kilo NEAR/3 mike + xray", "1"), ("mike (alpha + -kilo NEAR/3 mike)", "1234"), ("mike (-alpha + -kilo)", "134"), ("(-alpha + -kilo)", ""), ("papa (-alpha + xray)", "1"),
         ('mike -"alpha bravo"', "234"), ("kilo NEAR/4 mike india", "3"), ("mike NEAR/0 mike", ""), ("qu*", "345"), ("mike -qu*", "12"), ("*vember", "125"), ("al*ha", "125"), ('"alp* bra*"', "1"), ("***", "12345"), ("!!!", ""), ("", ""),
     ],
 )
@@ -103,6 +107,88 @@ def test_ranked_options(spark, engine):
     assert textbook.score == round(2 * math.log(5 / 3) / 3.855742130, 6)
 
 
+def test_many_groups_run(engine):
+    query = "mike " + " ".join(f"({w} + hotel + {w}z)" for w in "papa romeo november xray delta bravo lima sierra yankee foxtrot charlie tango kilo zulu victor india quebec uniform juliet echo oscar golf alpha mike".split())
+    assert names(engine.search_boolean(query + " (a + hotel)" * 6)) == ["doc1", "doc4"]
+
+
+def near_by_hand(a, b, k):
+    return any(1 <= y - x <= k for x in a for y in b)
+
+
+def test_near_over_many_positions(spark):
+    from lexiquarry.operators.retrieval import _follows
+
+    draw = random.Random(3)
+    rows = [([draw.randrange(60) for _ in range(draw.randrange(5))], [draw.randrange(60) for _ in range(draw.randrange(5))]) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a array<int>, b array<int>")
+    for k in (0, 1, 7):
+        got = df.select("a", "b", _follows(F.col("a"), F.col("b"), k).alias("met")).collect()
+        assert all(r.met == near_by_hand(r.a, r.b, k) for r in got)
+
+
+def test_count_and_all_ranks(engine):
+    top = engine.search_ranked("mike november", k=2, counted=True).orderBy("rank").collect()
+    everything = engine.search_ranked("mike november", k=None).orderBy("rank").collect()
+    assert {r.matches for r in top} == {5} and len(everything) == 5 and [r.rank for r in everything] == [1, 2, 3, 4, 5]
+    assert [(r.rank, r.doc_id, r.score) for r in top] == [(r.rank, r.doc_id, r.score) for r in everything[:2]]
+    assert count_ranked(engine.index, "mike november") == 5 and engine.search_ranked("zzz", k=None, counted=True).collect() == []
+
+
+def test_plans(spark, engine):
+    """A document's terms are counted without a shuffle; ranking joins documents only behind the top k."""
+    docs = spark.createDataFrame([(1, "a b a")], "doc_id long, body string")
+    assert "Exchange" not in forward_table(normalized_documents(docs))._jdf.queryExecution().executedPlan().toString()
+    plan = engine.search_ranked("hotel november", "wacky")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("/forward") + plan.count("file_name") > 0 and plan.index("Window") > plan.index("Join")
+
+
+def test_rebuilding_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    where = str(tmp_path / "i")
+    first = Index.build(spark.createDataFrame([(1, "zebra crossing")], "doc_id long, body string"), where)
+    assert [r.term for r in expand_by_grams(first, "z*").collect()] == ["zebra"] and first.kgram_status().first().enabled
+    second = Index.build(spark.createDataFrame([(1, "apple pie")], "doc_id long, body string"), where, kgram=False)
+    for index in (second, Index.open(spark, where)):
+        assert not index.has_kgrams and tuple(index.kgram_status().first()) == (False, 0)
+        with pytest.raises(NoGrams):
+            expand_by_grams(index, "z*")
+        assert [r.norm for r in expand_wildcard(index, "a*").collect()] == ["apple"]
+    assert len([n for n in workspace.names_in(spark, where) if n.startswith("build=")]) == 1
+
+    def failing(*arguments):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:  # a build that dies leaves the index as it was
+        patch.setattr(workspace, "write_new", failing)
+        with pytest.raises(OSError):
+            Index.build(spark.createDataFrame([(1, "other")], "doc_id long, body string"), where)
+    assert [r.term for r in Index.open(spark, where).vocabulary().collect()] == ["apple", "pie"]
+    with pytest.raises(FileNotFoundError):
+        Index.open(spark, str(tmp_path / "none"))
+
+
+def test_stems_and_norms(spark, tmp_path):
+    index = Index.build(spark.createDataFrame([(1, "Voting votes long-voted"), (2, "voter"), (3, None)], "doc_id long, body string"), str(tmp_path), "english")
+    assert {(r.norm, r.term) for r in index.norms.collect()} == {("voting", "vote"), ("votes", "vote"), ("long", "long"), ("voted", "vote"), ("longvoted", "longvot"), ("voter", "voter")}
+    row = index.postings_of("vote").first()
+    assert (row.tf_emit, row.tf, list(row.positions)) == (3, 3, [0, 1, 2]) and {r.term for r in index.terms_of(1).collect()} == {"vote", "long", "longvot"}
+
+
+def test_generated_documents(spark):
+    rows = call_word_documents(spark, 200, seed=3).orderBy("doc_id").collect()
+    words = [r.body.split() for r in rows]
+    assert {len(w) for w in words} == {11, 12, 13, 14, 15} and {x for w in words for x in w} == set(CALL_WORDS)
+    assert all(r.body == "\n".join(w) + "\n" and r.byte_size == len(r.body) for r, w in zip(rows, words)) and len({r.body for r in rows}) == 200
+    assert call_word_documents(spark, 200, seed=3).exceptAll(spark.createDataFrame(rows)).isEmpty() and call_word_documents(spark, 0).collect() == []
+
+
+def test_empty_files_are_documents(spark, tmp_path):
+    for name, text in {"a.txt": "", "b.txt": "mike", "_hidden.txt": "", "c.json": '{"title": "t", "body": "", "url": ""}'}.items():
+        (tmp_path / name).write_text(text)
+    rows = read_directory(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.file_name, r.body, r.byte_size) for r in rows] == [("a.txt", "", 0), ("b.txt", "mike", 4), ("c.json", " ", 37)]
+
+
 def test_two_frequencies(spark, tmp_path):
     index = Index.build(spark.createDataFrame([(1, "test-test"), (2, None), (3, " ** ")], "doc_id long, body string"), str(tmp_path))
     row = index.postings_of("test").first()
