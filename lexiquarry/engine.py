@@ -25,9 +25,7 @@ class Engine:
     @classmethod
     def build(cls, documents: DataFrame, path: str, stemmer: str = "english", kgram: bool = True) -> Engine:
         """Index documents (doc_id, body and optionally file_name, title, url, byte_size, class), replacing what lies at ``path``."""
-        stored = f"{path.rstrip('/')}/documents"
-        documents.write.mode("overwrite").option("parquet.bloom.filter.enabled#doc_id", "true").parquet(stored)
-        return cls(Index.build(documents.sparkSession.read.parquet(stored), path, stemmer, kgram))
+        return cls(Index.build(documents, path, stemmer, kgram, store=True))
 
     @classmethod
     def build_directory(cls, spark: SparkSession, directory: str, path: str, stemmer: str = "english", kgram: bool = True) -> Engine:
@@ -58,7 +56,7 @@ class Engine:
 
     def open_document(self, file_name: str) -> DataFrame:
         """Title, body and url of the documents of that name."""
-        stored = self.spark.read.parquet(f"{self.index.path}/documents")
+        stored = self.index.stored
         names = self.index.forward.filter(F.col("file_name") == file_name).select("doc_id")
         return stored.join(names, "doc_id", "left_semi").select(*[c for c in ("title", "body", "url") if c in stored.columns])
 

@@ -168,16 +168,21 @@ class Index:
         self.stemmer: str = settings["stemmer"]
 
     @classmethod
-    def build(cls, documents: DataFrame, path: str, stemmer: str = "none", kgram: bool = True) -> Index:
+    def build(cls, documents: DataFrame, path: str, stemmer: str = "none", kgram: bool = True, store: bool = False) -> Index:
         """Build all tables of documents (doc_id, body and optionally file_name, byte_size, class) and replace what lies at ``path``.
 
         doc_id must be unique and not null. A document without terms counts in n_docs. A
         build that dies leaves the index as it was. The text is read once; what is shuffled
-        are the postings, when they are sorted, and what follows from the vocabulary.
+        are the postings, when they are sorted, and what follows from the vocabulary. With
+        ``store`` the documents are kept with all their columns (:meth:`stored`) and indexed
+        as kept, so both agree whatever becomes of their source.
         """
         spark, path = documents.sparkSession, path.rstrip("/")
         settings = {"build": uuid.uuid4().hex[:12], "stemmer": stemmer, "kgram": kgram}
         self = cls(spark, path, settings)
+        if store:
+            documents.write.option("parquet.bloom.filter.enabled#doc_id", "true").parquet(f"{self._folder}/documents")
+            documents = self.stored
         docs = normalized_documents(documents)
         cores = spark.sparkContext.defaultParallelism
         if docs.rdd.getNumPartitions() < cores:  # few files: the texts are spread over the cores
@@ -230,6 +235,7 @@ class Index:
     doc_stats = property(lambda self: stats_of(self.forward))
     postings = property(lambda self: self._table("postings"))
     vocab = property(lambda self: self._table("vocab"))
+    stored = property(lambda self: self._table("documents"))
 
     @property
     def norms(self) -> DataFrame:
