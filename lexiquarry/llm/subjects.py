@@ -40,7 +40,7 @@ class Settings(NamedTuple):
     refined: int = 16  #: on each sentence's own subjects, as told after these
     rate: float = 0.12
     decay: float = 1e-6
-    partitions: int = 6  #: shares of the sample
+    partitions: int = 3  #: shares of the sample; each sends a gradient of the model's size in every step
     level: float = 0.5  #: least output of a sentence about a subject
     share: float = 0.25  #: of a document's words
     seed: int = 7
@@ -249,10 +249,13 @@ def train(documents: DataFrame, labels: DataFrame, names: list[str], settings: S
         n = sum(r["n"] for r in rows)
         if not n:
             return None
-        total = sum(np.frombuffer(r["gradient"], np.float32).astype(np.float64) for r in rows) / n
+        total = np.zeros(int(ends[-1]))
+        for r in rows:
+            total += np.frombuffer(r["gradient"], np.float32)
+        total /= n
         base = sum(np.array(r["held"]) for r in rows) / n
         model = adam.step(model, [g.reshape(shape).astype(np.float32) for g, shape in zip(np.split(total, ends[:-1]), shapes)])
-        shared.unpersist()
+        shared.destroy()
     return model
 
 
