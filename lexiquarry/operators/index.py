@@ -25,6 +25,8 @@ from lexiquarry.functions.analysis import STEMMERS, emitted_terms
 from lexiquarry.functions.porter2 import stem_all, stem_column
 
 GRAM_SIZES = (1, 2, 3)
+#: Bytes a core below which a table's texts are spread before they are indexed.
+SPREAD_BYTES = 16 << 20
 
 
 def normalized_documents(documents: DataFrame) -> DataFrame:
@@ -185,7 +187,8 @@ class Index:
             documents = self.stored
         docs = normalized_documents(documents)
         cores = spark.sparkContext.defaultParallelism
-        if docs.rdd.getNumPartitions() < cores:  # few files: the texts are spread over the cores
+        size = workspace.size_of(documents)
+        if size is not None and size < cores * SPREAD_BYTES:  # a small table lies in few files: its texts are spread over the cores
             docs = docs.repartition(cores)
         writer = forward_table(docs, stemmer).write.option("parquet.bloom.filter.enabled#doc_id", "true")
         writer.parquet(f"{self._folder}/forward")

@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiquarry.workspace import size_of
+
 _PARTIAL = "k string, r long, occurrences long, records long, max_in_record long, first long, last long"
 
 
@@ -122,8 +124,7 @@ PARTITION_BYTES = 32 << 20
 
 def _range_partitions(df: DataFrame) -> int | None:
     """How many range partitions the size of a table asks for; None if the session's setting is enough."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = -(-size // PARTITION_BYTES) if size < 1 << 60 else 0  # beyond it the size isn't known
+    wanted = -(-(size_of(df) or 0) // PARTITION_BYTES)
     return wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 

@@ -137,6 +137,12 @@ def read_text(spark: SparkSession, where: str) -> str | None:
     return text
 
 
+def size_of(df: DataFrame) -> int | None:
+    """Bytes of a table as the optimizer estimates them from its files; None if it can't tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
 def fits_broadcast(df: DataFrame, limit_bytes: int) -> bool:
     """Whether a *materialized* table is proven small: rows times the width of its schema, strings by their real length."""
     from pyspark.sql import functions as F
