@@ -5,6 +5,10 @@ Tables are stored as Parquet; this is for reading or writing lists in that forma
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
+
 
 def encode(number: int) -> bytes:
     if number < 0:
@@ -38,3 +42,15 @@ def decode_gaps(data: bytes) -> list[int]:
     for gap in decode(data):
         out.append(at := at + gap)
     return out
+
+
+@F.pandas_udf(BinaryType())
+def encoded_gaps(lists: pd.Series) -> pd.Series:
+    """:func:`encode_gaps` of a column of ascending lists; null stays null."""
+    return lists.map(lambda x: encode_gaps([int(i) for i in x]), na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def decoded_gaps(data: pd.Series) -> pd.Series:
+    """The inverse of :func:`encoded_gaps`."""
+    return data.map(decode_gaps, na_action="ignore")

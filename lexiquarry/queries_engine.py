@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiquarry import queries_core as core
 from lexiquarry.engine import Engine
+from lexiquarry.functions.varbyte import decoded_gaps, encoded_gaps
 from lexiquarry.operators import retrieval
 from lexiquarry.operators.classify import Classifier
 from lexiquarry.operators.index import Index
@@ -198,6 +199,16 @@ _ASKED = core._words("granite", "in", "the", "court")
 _add("rank_counted", core._on_index(lambda i: retrieval.search_ranked(i, "granite in the court", "okapi", counted=True)), core._rank_sql("okapi", _ASKED, "rank, doc_id, file_name, score, (SELECT count(*) FROM scored) AS matches"))
 _add("rank_all", core._on_index(lambda i: retrieval.search_ranked(i, "granite in the court", "bm25", k=None)), core._rank_sql("bm25", _ASKED, k=10**9))
 
+# Variable-byte lists of positions
+
+_BYTES = "CASE WHEN g < 128 THEN printf('%02X', g | 128) WHEN g < 16384 THEN printf('%02X%02X', g // 128, (g % 128) | 128) ELSE printf('%02X%02X%02X', g // 16384, (g // 128) % 128, (g % 128) | 128) END"
+_add(
+    "varbyte_positions",
+    core._on_index(lambda i: i.postings_of("granite").withColumn("data", encoded_gaps("positions")).select("doc_id", F.hex("data").alias("bytes"), (decoded_gaps("data") == F.col("positions")).alias("same"))),
+    f"""{core._EMITTED}, gaps AS (SELECT doc_id, pos, pos - coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS g FROM (SELECT DISTINCT doc_id, pos FROM emitted WHERE term = 'granite'))
+SELECT doc_id, string_agg({_BYTES}, '' ORDER BY pos) AS bytes, true AS same FROM gaps GROUP BY doc_id""",
+)
+
 # One document to classify
 
 _ONE = "file_name = (SELECT file_name FROM docs WHERE doc_id = (SELECT min(doc_id) FROM docs WHERE class IS NULL))"
