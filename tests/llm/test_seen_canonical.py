@@ -24,6 +24,11 @@ def test_forms_of_one_wording():
     assert words(SAME[2]) == ["the", "café", "at", "kärnholt", "12", "m²"] and words(None) == words(" ​") == []
 
 
+def test_look_alikes_of_many_scripts():
+    assert as_seen("Ӏѵοry Ꮃіnԁ νаսlt ꓢаոԁ") == "Ivory Wind vault Sand" and as_seen("жук λέων") == "жyк λέωv"
+    assert all(len(a) == len(b) == 1 and b.isascii() and a.lower() not in LOOK_ALIKES or LOOK_ALIKES.get(a.lower(), "").isascii() for a, b in LOOK_ALIKES.items())
+
+
 def test_pairs(spark):
     rows = [(i, t) for i, t in enumerate(SAME)] + [(10 + i, t) for i, t in enumerate(OTHERS)]
     rows += [(20, SAME[0]), (0, SAME[0]), (30, None), (31, ""), (32, " ​\n"), (33, "\t"), (None, SAME[1])]
