@@ -64,13 +64,13 @@ def scope(spark: SparkSession) -> Iterator[None]:
             drop(spark, path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: the same rows, all columns nullable."""
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: the same rows, all columns nullable. options: the writer's."""
     spark = df.sparkSession
     path = new_path(spark, name)
     if _open:
         _open[-1].append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
